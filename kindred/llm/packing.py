@@ -124,7 +124,7 @@ def pack(
     """
     vocab, ranks = vocab or public_tokenizers.path(VOCAB), ranks or public_tokenizers.path(RANKS)
     cut_up = materialize(pieces(docs, capacity, end_id, vocab, ranks, doc_id, text), "pieces")
-    whole = cut_up.filter(F.col("length") == capacity).withColumns({"sequence_id": (F.xxhash64("doc_id", "piece", "ids_crc32").bitwiseAND(F.lit(0)) + F.monotonically_increasing_id()) * 2 + 1, "offset": F.lit(0).cast("long")})
+    whole = cut_up.filter(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("long")})
     loose = cut_up.filter(F.col("length") < capacity)
     n = loose.count()
     columns = f"{PIECES}, sequence_id long, offset long"
