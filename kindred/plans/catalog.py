@@ -5,7 +5,246 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from kindred.functions import text, udfs
+from kindred.operators import blocking, evaluate, index, misses, normalize, pairs, profile
+from kindred.plans.fixture import MAX_DF, RECORDS, Linkage, document_records, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "candidates_v3"
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = RECORDS + sql
+
+
+# Normalised views.
+_VIEWS = ["entity_id", "country_key", "name_nfkc", "name_compact", "name_tokens", "name_tokens_sorted", "name_core", "name_core_compact", "address_nfkc", "address_informative_tokens"]
+_VIEWS_SQL = """SELECT entity_id, country_key, name_nfkc, name_compact, array_to_string(name_words, ' ') AS name_tokens, array_to_string(list_sort(list_distinct(name_words)), ' ') AS name_tokens_sorted,
+name_core, name_core_compact, address_nfkc, array_to_string(address_words, ' ') AS address_informative_tokens FROM views"""
+_add("normalize_views", lambda s, d: Linkage(s, d).views.select(*_VIEWS), _VIEWS_SQL)
+_add("normalize_views_unicode", lambda s, d: normalize.normalize(document_records(s, d)).select(*_VIEWS), _VIEWS_SQL)
+_add(
+    "normalize_addresses",
+    lambda s, d: Linkage(s, d, customers=True).views.select("entity_id", "postal_candidates", "address_numbers", "name_core", "name_legal_suffixes"),
+    r"""SELECT entity_id, array_to_string(list_sort(list_distinct(postals)), '|') AS postal_candidates,
+    array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(business_address, '\b\d+[a-z]?(?:[-/]\d+[a-z]?)?\b'), lambda x: NOT list_contains(postals, x)))), '|') AS address_numbers,
+    plain_name AS name_core, 'pvt ltd' AS name_legal_suffixes FROM views_c""",
+)
+_add(
+    "char_ngrams",
+    lambda s, d: Linkage(s, d).targets.select("entity_id", F.explode(text.char_ngrams(F.col("name_compact"))).alias("gram")),
+    """SELECT DISTINCT entity_id, substr('^' || name_compact || '$', i, n) AS gram FROM t, (VALUES (3), (4)) g(n), LATERAL (SELECT unnest(range(1, length(name_compact) + 2 - n + 2)) AS i) WHERE name_compact <> ''""",
+)
+_add(
+    "light_keys",
+    lambda s, d: pairs.light_keys(Linkage(s, d, customers=True).s1).select("source1_entity_id", text.lookup_key(F.col("country_key"), F.col("name_compact")).alias("compact_key"), text.lookup_key(F.col("country_key"), F.col("name_core_compact")).alias("core_key")),
+    """SELECT entity_id AS source1_entity_id, country_key || chr(31) || replace(business_name, ' ', '') AS compact_key, country_key || chr(31) || replace(regexp_replace(business_name, ' pvt ltd$', ''), ' ', '') AS core_key FROM views_c WHERE source = 'S1'""",
+)
+
+# Indexes.
+_RANK = {b: i for i, b in enumerate(blocking.BLOCKS)}
+for _name in index.EXACT:
+    _add(f"index_{_name}", lambda s, d, n=_name: index.keyed(Linkage(s, d).postings[n]), f"SELECT country_key || chr(31) || value AS lookup_key, entity_id FROM exact WHERE rank = {_RANK[_name]} AND value <> ''")
+    _add(f"doc_freq_{_name}", lambda s, d, n=_name: index.keyed(index.frequency(Linkage(s, d).postings[n])), f"SELECT country_key || chr(31) || value AS lookup_key, count(*) AS doc_freq FROM exact WHERE rank = {_RANK[_name]} AND value <> '' GROUP BY 1")
+for _name in index.TOKENS:
+    _add(f"index_{_name}", lambda s, d, n=_name: index.keyed(Linkage(s, d).postings[n]), f"SELECT country_key || chr(31) || value AS lookup_key, entity_id FROM rare WHERE rank = {_RANK[_name]}")
+_POSTAL = "SELECT DISTINCT country_key || chr(31) || unnest(postals) AS lookup_key, entity_id FROM views_c WHERE source <> 'S1'"
+_add("index_postal", lambda s, d: index.keyed(Linkage(s, d, customers=True).postings["postal"]), _POSTAL)
+_add("doc_freq_postal", lambda s, d: index.keyed(index.frequency(Linkage(s, d, customers=True).postings["postal"])), f"SELECT lookup_key, count(*) AS doc_freq FROM ({_POSTAL}) GROUP BY 1")
+_add(
+    "index_name_ngram",
+    lambda s, d: index.keyed(index.ngram_postings(Linkage(s, d).targets, MAX_DF)),
+    f"""SELECT lookup_key, entity_id FROM (SELECT DISTINCT country_key || chr(31) || substr('^' || name_compact || '$', i, n) AS lookup_key, entity_id
+    FROM t, (VALUES (3), (4)) g(n), LATERAL (SELECT unnest(range(1, length(name_compact) + 2 - n + 2)) AS i) WHERE name_compact <> '') QUALIFY count(*) OVER (PARTITION BY lookup_key) <= {MAX_DF}""",
+)
+_add(
+    "entities",
+    lambda s, d: Linkage(s, d).targets.groupBy("source", "country_key").agg(F.count("*").alias("records"), F.count_distinct("name_nfkc").alias("names")),
+    "SELECT source, country_key, count(*) AS records, count(DISTINCT name_nfkc) AS names FROM t GROUP BY ALL",
+)
+
+# Blocks, strategies and provenance.
+for _name in [b for b in blocking.BLOCKS[:7] if b != "postal"]:
+
+    def _block(s: SparkSession, d: str, n: str = _name) -> DataFrame:
+        link = Linkage(s, d)
+        return blocking.block_pairs(link.s1, link.postings[n], n)
+
+    _add(f"block_{_name}", _block, f"SELECT DISTINCT source1_entity_id, candidate_entity_id FROM found WHERE rank = {_RANK[_name]}")
+
+
+def _postal_block(s: SparkSession, d: str) -> DataFrame:
+    link = Linkage(s, d, customers=True)
+    return blocking.block_pairs(link.s1, link.postings["postal"], "postal")
+
+
+_add("block_postal", _postal_block, "SELECT DISTINCT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM (SELECT entity_id, country_key, unnest(postals) AS p FROM views_c WHERE source = 'S1') a JOIN (SELECT entity_id, country_key, unnest(postals) AS p FROM views_c WHERE source <> 'S1') b USING (country_key, p)")
+_add("evidence", lambda s, d: Linkage(s, d).evidence, "SELECT * FROM evidence")
+for _name, _rule in (("v1", "true"), ("v2", "v2"), ("v3", "v3")):
+    _add(f"candidates_{_name}", lambda s, d, n=_name: blocking.candidates(Linkage(s, d).evidence, getattr(blocking, n)()), f"SELECT source1_entity_id, candidate_entity_id FROM rated WHERE {_rule}")
+
+
+def _methods(s: SparkSession, d: str) -> DataFrame:
+    link = Linkage(s, d)
+    return blocking.retrieve(link.s1, link.postings).select("source1_entity_id", "candidate_entity_id", F.array_join("methods", ",").alias("methods"))
+
+
+_NAMES = "CASE rank " + " ".join(f"WHEN {i} THEN '{b}'" for b, i in _RANK.items()) + " END"
+_add("retrieve_with_methods", _methods, f"SELECT source1_entity_id, candidate_entity_id, string_agg(DISTINCT {_NAMES}, ',' ORDER BY {_NAMES}) AS methods FROM found GROUP BY ALL")
+
+# Evaluation.
+_add("ground_truth", lambda s, d: Linkage(s, d).truth, "SELECT * FROM truth")
+_add("true_pairs", lambda s, d: evaluate.true_pairs(Linkage(s, d).truth), "SELECT * FROM truth_pairs")
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    link = Linkage(s, d)
+    return evaluate.per_s1_report(link.s1, blocking.candidates(link.evidence, blocking.v1()), evaluate.true_pairs(link.truth))
+
+
+_add("per_s1_report", _report, "SELECT * FROM report")
+_add(
+    "blocking_summary",
+    lambda s, d: evaluate.summary(_report(s, d)),
+    """SELECT *, CASE WHEN true_pairs = 0 THEN 0.0 ELSE recovered_pairs / true_pairs END AS pair_recall, CASE WHEN singletons = 0 THEN 0.0 ELSE clean_singletons / singletons END AS clean_singleton_rate,
+    CASE WHEN multi_true = 0 THEN 0.0 ELSE multi_recovered / multi_true END AS multi_match_recall, CASE WHEN matched_queries = 0 THEN 0.0 ELSE fully_recovered / matched_queries END AS all_matches_rate FROM (
+    SELECT count(*) AS queries, sum(true_count)::BIGINT AS true_pairs, sum(candidate_count)::BIGINT AS candidate_pairs, sum(recovered_count)::BIGINT AS recovered_pairs, avg(candidate_count) AS avg_candidates,
+    quantile_cont(candidate_count::DOUBLE, 0.5) AS median_candidates, quantile_cont(candidate_count::DOUBLE, 0.95) AS p95_candidates, max(candidate_count) AS max_candidates, count(*) FILTER (true_count = 0) AS singletons,
+    count(*) FILTER (true_count = 0 AND candidate_count = 0) AS clean_singletons, coalesce(sum(true_count) FILTER (true_count >= 2), 0)::BIGINT AS multi_true, coalesce(sum(recovered_count) FILTER (true_count >= 2), 0)::BIGINT AS multi_recovered,
+    count(*) FILTER (true_count > 0) AS matched_queries, count(*) FILTER (true_count > 0 AND recovered_count = true_count) AS fully_recovered FROM report)""",
+)
+
+
+def _diagnostics(s: SparkSession, d: str) -> DataFrame:
+    link = Linkage(s, d)
+    return evaluate.block_diagnostics(link.evidence, evaluate.true_pairs(link.truth))
+
+
+_BLOCK_LIST = ", ".join(f"({i + 1}, '{b}')" for i, b in enumerate(blocking.BLOCKS[:7]))
+_add(
+    "block_diagnostics",
+    _diagnostics,
+    f"""SELECT block_order::INT AS block_order, block,
+    (SELECT count(*) FROM judged WHERE mask & (1 << (block_order - 1)) <> 0) AS candidate_pairs, (SELECT count(DISTINCT source1_entity_id) FROM judged WHERE mask & (1 << (block_order - 1)) <> 0) AS s1_with_candidates,
+    (SELECT count(*) FROM judged WHERE mask & (1 << (block_order - 1)) <> 0 AND is_true) AS individual_recovered_true_pairs,
+    (SELECT count(*) FROM judged WHERE mask & (1 << (block_order - 1)) <> 0 AND is_true) / (SELECT count(*) FROM truth_pairs) AS individual_recall,
+    (SELECT count(*) FROM judged WHERE first_block < block_order) AS cumulative_candidate_pairs, (SELECT count(DISTINCT source1_entity_id) FROM judged WHERE first_block < block_order) AS cumulative_s1_with_candidates,
+    (SELECT count(*) FROM judged WHERE first_block < block_order AND is_true) AS cumulative_recovered_true_pairs,
+    (SELECT count(*) FROM judged WHERE first_block < block_order AND is_true) / (SELECT count(*) FROM truth_pairs) AS cumulative_recall
+    FROM (VALUES {_BLOCK_LIST}) b(block_order, block)""",
+)
+
+
+def _strategies(s: SparkSession, d: str) -> DataFrame:
+    link = Linkage(s, d)
+    return evaluate.strategy_stats(link.evidence, evaluate.true_pairs(link.truth), link.s1)
+
+
+_add(
+    "strategy_stats",
+    _strategies,
+    """, marked AS (SELECT 'v1' AS strategy, * FROM judged UNION ALL SELECT 'strong', * FROM judged WHERE strong UNION ALL SELECT 'name_and_address', * FROM judged WHERE both_words
+    UNION ALL SELECT 'v2', * FROM judged WHERE v2 UNION ALL SELECT 'v3', * FROM judged WHERE v3),
+    each AS (SELECT strategy, source1_entity_id, count(*) AS n, count(*) FILTER (is_true) AS r FROM marked GROUP BY ALL)
+    SELECT strategy, sum(n)::BIGINT AS candidate_pairs, count(*) AS s1_with_candidates, sum(r)::BIGINT AS recovered_true_pairs,
+    count(*) FILTER (r > 0 AND r = (SELECT count(*) FROM truth_pairs x WHERE x.source1_entity_id = each.source1_entity_id)) AS fully_recovered_s1,
+    sum(r) / (SELECT count(*) FROM truth_pairs) AS recall, sum(n) / (SELECT count(*) FROM s1) AS candidates_per_s1 FROM each GROUP BY strategy""",
+)
+
+
+# Misses.
+def _near_truth(link: Linkage) -> DataFrame:
+    """Pairs that share a common word of the name but may share nothing indexed, so that there are misses to explain."""
+    q = link.s1.select("source1_entity_id", "country_key", F.element_at(F.split("name_tokens", " "), 1).alias("word"))
+    t = link.targets.select(F.col("entity_id").alias("true_entity_id"), "country_key", F.element_at(F.split("name_tokens", " "), 1).alias("word"))
+    return q.filter("word <> ''").join(t, ["country_key", "word"]).select("source1_entity_id", "true_entity_id")
+
+
+def _missed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    link = Linkage(s, d)
+    truth = _near_truth(link)
+    return misses.missed(misses.pair_evidence(truth, link.s1_views, link.targets, link.postings)), truth
+
+
+_MISSES = """, near AS (SELECT a.entity_id AS source1_entity_id, b.entity_id AS true_entity_id, a.country_key, list_intersect(a.name_words, b.name_words) AS sn, list_intersect(a.address_words, b.address_words) AS sa,
+(a.name_nfkc <> '' AND a.name_nfkc = b.name_nfkc) OR (a.name_compact <> '' AND a.name_compact = b.name_compact) OR (a.name_core_compact <> '' AND a.name_core_compact = b.name_core_compact) OR (a.address_nfkc <> '' AND a.address_nfkc = b.address_nfkc) AS exact_match
+FROM s1 a JOIN t b ON a.country_key = b.country_key AND a.name_words[1] = b.name_words[1]),
+known AS (SELECT DISTINCT rank, country_key, value FROM rare),
+missed AS (SELECT source1_entity_id, true_entity_id, CASE WHEN len(sn) > 0 AND len(sa) > 0 THEN 'shared_name_and_address_tokens_but_all_suppressed' WHEN len(sn) > 0 THEN 'shared_name_tokens_but_suppressed'
+WHEN len(sa) > 0 THEN 'shared_address_tokens_but_suppressed' ELSE 'no_exact_or_indexed_token_evidence' END AS reason FROM near
+WHERE NOT exact_match AND NOT EXISTS (SELECT 1 FROM known k WHERE k.country_key = near.country_key AND ((k.rank = 5 AND list_contains(near.sn, k.value)) OR (k.rank = 6 AND list_contains(near.sa, k.value)))))
+"""
+_add("miss_reasons", lambda s, d: _missed(s, d)[0].select("source1_entity_id", "true_entity_id", "reason"), _MISSES + "SELECT * FROM missed")
+
+
+def _miss_summary(s: SparkSession, d: str) -> DataFrame:
+    found, truth = _missed(s, d)
+    return misses.miss_summary(found, truth.agg(F.count("*").alias("total")))
+
+
+_add("miss_summary", _miss_summary, _MISSES + "SELECT reason, count(*) AS missed_pairs, count(*) / (SELECT count(*) FROM missed) AS share_of_misses, count(*) / (SELECT count(*) FROM near) AS share_of_all_true_pairs FROM missed GROUP BY reason")
+_add("miss_examples", lambda s, d: misses.miss_examples(_missed(s, d)[0], 100))
+_add(
+    "name_similarity",
+    lambda s, d: evaluate.true_pairs(Linkage(s, d).truth).withColumn("similarity", udfs.sequence_similarity("source1_entity_id", "true_entity_id")),
+)
+
+
+# Training pairs.
+def _split(s: SparkSession, d: str) -> tuple[Linkage, DataFrame]:
+    link = Linkage(s, d)
+    own = link.s1_records.join(link.s1.drop("country"), "source1_entity_id")
+    return link, pairs.split(own, ["source1_entity_id"], 0, 0)
+
+
+_BUCKET = "CASE WHEN ('0x' || substr(md5(entity_id), 1, 8))::BIGINT % 10 = 0 THEN 'valid' ELSE 'train' END"
+_PAIR_SQL = "q.entity_id AS s1_entity_id, c.source AS candidate_source, c.entity_id AS candidate_entity_id, {label} AS label, q.business_name AS s1_name, q.business_address AS s1_address, q.country AS s1_country, c.business_name AS candidate_name, c.business_address AS candidate_address, c.country AS candidate_country"
+_POSITIVE = f"SELECT {_PAIR_SQL.format(label=1)} FROM (SELECT source1_entity_id, unnest(string_split(matched_entity_ids, ',')[1:2]) AS id FROM truth WHERE matched_entity_ids <> '') x JOIN s1 q ON q.entity_id = source1_entity_id JOIN t c ON c.entity_id = id"
+_NEGATIVE = f"""SELECT {_PAIR_SQL.format(label=0)} FROM (SELECT DISTINCT source1_entity_id, candidate_entity_id FROM judged WHERE mask & 15 <> 0 AND NOT is_true
+QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY md5(candidate_entity_id), candidate_entity_id) <= 4) x JOIN s1 q ON q.entity_id = x.source1_entity_id JOIN t c ON c.entity_id = x.candidate_entity_id"""
+_add("split_bucket", lambda s, d: _split(s, d)[1].select("source1_entity_id", "split"), f"SELECT entity_id AS source1_entity_id, {_BUCKET} AS split FROM s1")
+
+
+def _positives(s: SparkSession, d: str) -> DataFrame:
+    link, own = _split(s, d)
+    return pairs.positives(own, link.truth, link.targets)
+
+
+def _negatives(s: SparkSession, d: str) -> DataFrame:
+    link, own = _split(s, d)
+    return pairs.hard_negatives(own, link.truth, link.targets, order=F.md5("candidate_entity_id"))
+
+
+def _training(s: SparkSession, d: str) -> DataFrame:
+    link, own = _split(s, d)
+    return pairs.training_pairs(own, link.truth, link.targets, order=F.md5("candidate_entity_id"))
+
+
+_add("positive_pairs", _positives, _POSITIVE)
+_add("hard_negatives", _negatives, _NEGATIVE)
+_add("training_pairs", _training, f"SELECT p.*, {_BUCKET.replace('entity_id', 's1_entity_id')} AS split FROM (({_POSITIVE}) UNION ALL ({_NEGATIVE})) p")
+
+# Profiles.
+_FIELDS = ["entity_id", "business_name", "business_address", "country"]
+_add(
+    "profile_missingness",
+    lambda s, d: profile.missingness(document_records(s, d), _FIELDS),
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (trim(coalesce({c}, '')) = '') AS missing_or_empty, round(100.0 * count(*) FILTER (trim(coalesce({c}, '')) = '') / count(*), 4) AS missing_pct, count(*) AS rows FROM raw" for c in _FIELDS),
+)
+_add("profile_country", lambda s, d: profile.value_distribution(document_records(s, d), "country", "country"), "SELECT country, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM raw), 4) AS percentage FROM raw WHERE trim(country) <> '' GROUP BY 1")
+_add(
+    "profile_lengths",
+    lambda s, d: profile.length_stats(document_records(s, d), _FIELDS[1:3]),
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS count, round(avg(length({c})), 3) AS mean, round(stddev_pop(length({c})), 3) AS std, min(length({c}))::INT AS min, max(length({c}))::INT AS max FROM raw WHERE {c} <> ''" for c in _FIELDS[1:3]),
+)
+_add("profile_top_values", lambda s, d: profile.top_values(document_records(s, d), "business_name"), "SELECT business_name AS value, count(*) AS count FROM raw WHERE business_name <> '' GROUP BY 1 ORDER BY count DESC, value LIMIT 20")
+_add("profile_events", lambda s, d: profile.value_distribution(table(s, d, "events"), "event_type", "event_type"), "SELECT event_type, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM events), 4) AS percentage FROM events GROUP BY 1")
+_HIST = "SELECT '{s}' AS scope, len(list_filter(string_split(matched_entity_ids, ','), lambda x: {c}))::INT AS match_count, count(*) AS count FROM truth GROUP BY 2"
+_add("match_histogram", lambda s, d: profile.match_histogram(Linkage(s, d).truth), " UNION ALL ".join(_HIST.format(s=s, c=c) for s, c in (("all", "x <> ''"), ("S2", "starts_with(x, 'S2-')"), ("S3", "starts_with(x, 'S3-')"))))
+_add("truth_summary", lambda s, d: profile.truth_summary(Linkage(s, d).truth), "SELECT count(*) AS queries, count(*) FILTER (matched_entity_ids = '') AS singletons, round(100.0 * count(*) FILTER (matched_entity_ids = '') / count(*), 4) AS singleton_pct, (SELECT count(*) FROM truth_pairs) AS pairs FROM truth")
