@@ -277,6 +277,7 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     named = kinds.join(roots, kinds["key"] == roots["node"], "left").select("least", F.coalesce("root", "key").alias("root"))
     kept = materialize(named.groupBy("root").agg(F.min("least").alias("least")).select("least.did", "least.rk"), "kept")
     drop_materialized(rows)
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("did")) & (F.col("__kn_rk") == F.col("rk"))
-    chosen = keyed.join(kept, same).withColumn("__kn_nth", F.row_number().over(Window.partitionBy("__kn_rk", "did").orderBy(F.lit(1))))
-    return chosen.filter("__kn_nth = 1").select(*(keyed[c] for c in docs.columns))
+    kept = kept.select(F.col("did").alias("__kn_did"), F.col("rk").alias("__kn_own"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__kn_did")) & (F.col("__kn_rk") == F.col("__kn_own"))
+    first = F.row_number().over(Window.partitionBy("__kn_rk", "__kn_did").orderBy(F.lit(1)))
+    return keyed.join(kept, same).withColumn("__kn_nth", first).filter("__kn_nth = 1").select(*docs.columns)
