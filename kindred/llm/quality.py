@@ -69,9 +69,10 @@ def _weights(present: np.ndarray, absent: np.ndarray, z: float) -> np.ndarray:
 
 def features(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """One, then for each fault the evidence of the different n-grams that are present, their sum on a log scale and the
-    most of one, and last the share of repeated words on a log scale, for each text."""
+    most of one, and last the share of repeated words and the length, on log scales, for each text. Long texts gather weak
+    evidence by chance, which their length makes up for."""
     faults = len(weights)
-    out = np.zeros((len(texts), 2 + 2 * faults))
+    out = np.zeros((len(texts), 3 + 2 * faults))
     out[:, 0] = 1
     some = weights.any(0)
     for a, doc, bucket in _pieces(texts):
@@ -82,7 +83,8 @@ def features(texts: list[str], weights: np.ndarray) -> np.ndarray:
             out[:, 1 + f] += np.bincount(d, w[k], minlength=len(texts))
             np.maximum.at(out[:, 1 + faults + f], d, w[k])
     out[:, 1 : 1 + faults] = np.log1p(out[:, 1 : 1 + faults])
-    out[:, -1] = np.log1p(50 * np.array([_repeats(t) for t in texts]))
+    out[:, -2] = np.log1p(50 * np.array([_repeats(t) for t in texts]))
+    out[:, -1] = np.log1p([len(t) for t in texts])
     return out
 
 
