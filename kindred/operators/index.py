@@ -93,3 +93,11 @@ def build_indexes(entities: DataFrame, path: str, *, max_name_token_df: int = 20
             save(frequency(saved), f"{name}_frequency")
     counts = {r["source"]: r["count"] for r in whole.groupBy("source").count().collect()}
     save(metadata(spark, counts, chunk_size=0, threads=spark.sparkContext.defaultParallelism, enable_ngrams=enable_ngrams, max_name_token_df=max_name_token_df, max_address_token_df=max_address_token_df), "metadata")
+
+
+def save_bucketed(postings: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Saves postings as a table bucketed and sorted by key, with statistics. Query records bucketed alike join it without a
+    shuffle of the index."""
+    postings.write.mode("overwrite").bucketBy(buckets, *_KEY).sortBy(*_KEY).saveAsTable(table)
+    postings.sparkSession.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+    return postings.sparkSession.table(table)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kindred import cli
 from kindred.operators import blocking, evaluate, index, misses, normalize, pairs, profile
 from kindred.operators.store import IndexStore
 from kindred.sources import tsv
@@ -75,6 +76,38 @@ def test_misses(spark, link):
     assert len(misses.miss_examples(found, 10).columns) == 23
 
 
+def test_bucketed_index_joins_without_shuffling_it(spark, link):
+    _, s1, _, postings, _, _ = link
+    saved = index.save_bucketed(postings["exact_name"], "exact_name_bucketed", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = blocking.block_pairs(s1, saved, "exact_name")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(country_key") == 1 and "Bucketed: true" in plan
+    assert _pairs(found) == {("S1-1", "S3-2")}
+
+
+def test_command_line(spark, tmp_path):
+    for source in ("S1", "S2", "S3"):
+        rows = [r for r in RECORDS if r[0] == source]
+        (tmp_path / f"{source}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join("\t".join(x or "" for x in r[1:]) + "\n" for r in rows))
+    (tmp_path / "truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"{a}\t{b}\n" for a, b in TRUTH))
+    at = lambda x: str(tmp_path / x)
+    cli.main(["build-indexes", "--source2", at("S2.tsv"), "--source3", at("S3.tsv"), "--output", at("idx"), "--enable-ngrams"])
+    common = ["--source1", at("S1.tsv"), "--truth", at("truth.tsv"), "--index", at("idx")]
+    for what in ("evaluate", "diagnose", "misses", "candidates"):
+        cli.main([what, *common, "--output", at(what)])
+    assert spark.read.option("sep", "\t").option("header", True).csv(at("evaluate")).count() == 3
+    assert spark.read.option("sep", "\t").option("header", True).csv(at("diagnose")).count() == 7
+    cli.main(["pairs", *common, "--output", at("pairs")])
+    assert spark.read.parquet(at("pairs")).filter("label = 1").count() == 3
+    cli.main(["profile", "--source", at("S2.tsv"), "--output", at("profile.json")])
+    with pytest.raises(SystemExit):
+        cli.main(["nothing"])
+
+
 def test_store(spark, link, tmp_path):
     s1, _, targets, _, _, _ = link
     index.build_indexes(targets, str(tmp_path / "idx"), enable_ngrams=True)
