@@ -1,0 +1,29 @@
+"""Registered training-data queries: names, SQL, and rows on the smallest tables where those are there."""
+
+import os
+import re
+
+import duckdb
+import pytest
+
+from kindred.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_one_query_for_each_operator():
+    numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
+    assert numbers == list(range(1, 11))
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.sql(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
+    want = con.sql(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
+    clean = lambda f: sorted(tuple("" if v is None or v != v else v for v in r) for r in f.astype(object).itertuples(index=False))
+    assert clean(want) == clean(got)
