@@ -200,8 +200,8 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     """
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("did"), row_key(doc_id, text).alias("rk"), F.col(text).alias("text"))
     runs = materialize(_scan(own, window, k), "runs")
-    kinds = runs.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min("did").alias("did"), F.min("rk").alias("rk"), F.min("start").alias("start"), F.max("n").alias("n"))
-    kinds = materialize(kinds, "kinds")
+    kinds = runs.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("did", "rk", "start", "n")).alias("place"))
+    kinds = materialize(kinds.select("anchor", "context", "copies", "place.*"), "kinds")
     busy = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("copies").alias("total")).filter("total > 1"), "busy")
     shared = materialize(kinds.join(busy, "anchor").drop("total"), "shared")
 
@@ -209,12 +209,8 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     again = shared.filter("copies > 1").select("anchor", "context")
     whole = runs.join(again, ["anchor", "context"], "left_semi").select("did", "rk", F.col("start").alias("s"), (F.col("start") + F.col("n") + (window - 1)).alias("e"))
 
-    # Contexts to look into. Of one that comes up again a specimen takes part, whose own windows need no answer. The least
-    # id and key of a context's copies need not be of one copy, so its place is found among the runs by a join.
-    single = shared.filter("contexts > 1 and copies = 1").select("did", "rk", "start", "n", "anchor", "contexts", F.lit(True).alias("asks"))
-    several = shared.filter("contexts > 1 and copies > 1").select("anchor", "context", "contexts")
-    specimen = runs.join(several, ["anchor", "context"]).groupBy("anchor", "context", "contexts").agg(F.min(F.struct("did", "rk", "start", "n")).alias("p")).select("p.*", "anchor", "contexts", F.lit(False).alias("asks"))
-    wanted = single.unionByName(specimen)
+    # Contexts to look into: those found once, and a specimen of each that comes up again, which needs no answer.
+    wanted = shared.filter("contexts > 1").select("did", "rk", "start", "n", "anchor", "contexts", (F.col("copies") == 1).alias("asks"))
     lists = materialize(wanted.groupBy("did", "rk").agg(F.collect_list(F.struct("start", "n", "anchor", "contexts", "asks")).alias("asked")), "wanted")
     texts = own.join(lists, ["did", "rk"])
 
