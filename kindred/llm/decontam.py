@@ -153,7 +153,7 @@ def hits(
     keep: list[str] | None = None,
     share: int = 20,
     block_bytes: int = 8 << 20,
-    shard_chars: int = 4 << 20,
+    shard_chars: int = 1 << 20,
 ) -> DataFrame:
     """Which words of each document lie in a verbatim copy of a benchmark window.
 
@@ -225,7 +225,7 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, *, text: str = "text"
     return judged.filter(~F.col("contaminated")).select(*(F.col(f"__kn_kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
-def longest_matches(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, shard_chars: int = 4 << 20) -> DataFrame:
+def longest_matches(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, shard_chars: int = 1 << 20) -> DataFrame:
     """The maximal verbatim matches of at least a window: ``doc_id``, ``item_id``, ``doc_word``, ``item_word`` (where the
     match starts in each, in words) and ``n_words``. Windows that follow each other in both texts are one match. Documents
     or items without words have none."""

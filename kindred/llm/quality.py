@@ -37,8 +37,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``_grams`` in pieces of about a million characters; a longer text is cut, and no gram spans a cut."""
-    for a, b in slices([len(t) for t in texts], 1 << 20):
+    """``_grams`` in pieces of about half a million characters; a longer text is cut, and no gram spans a cut."""
+    for a, b in slices([len(t) for t in texts], 1 << 19):
         part = texts[a:b]
         for cut in range(0, max(map(len, part)) or 1, 1 << 22):
             doc, bucket = _grams([t[cut : cut + (1 << 22)] for t in part])

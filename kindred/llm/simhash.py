@@ -36,7 +36,7 @@ def fingerprints(texts: list[str | None], k: int, words: int = 1) -> tuple[np.nd
     """Fingerprints of ``64 * words`` bits, as rows of uint64, and the number of different shingles of each text. A bit is 1
     if it is set in over half the hashes; further words take bits of the hashes mixed anew."""
     out, sizes = np.zeros((len(texts), words), np.uint64), np.zeros(len(texts), np.int64)
-    for a, b in slices([len(t) if t else 0 for t in texts], 2 << 20):
+    for a, b in slices([len(t) if t else 0 for t in texts], 1 << 19):
         lists = [shingle_hashes(t, k) for t in texts[a:b]]
         n = np.array([len(x) for x in lists], np.int64)
         if not n.any():

@@ -38,7 +38,7 @@ class Encoder(dict):
     bytes, or to None if the unit ends in white space, where a cut is not safe. Grows as units come up; ``room`` bounds it.
     """
 
-    def __init__(self, vocab: str, ranks: str, room: int = 500_000):
+    def __init__(self, vocab: str, ranks: str, room: int = 300_000):
         import tiktoken
         from tokenizers import Tokenizer
 
