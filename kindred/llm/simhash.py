@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -37,11 +38,25 @@ def fingerprints(texts: list[str | None], k: int, words: int = 1) -> tuple[np.nd
     if it is set in over half the hashes; further words take bits of the hashes mixed anew."""
     out, sizes = np.zeros((len(texts), words), np.uint64), np.zeros(len(texts), np.int64)
     for a, b in slices([len(t) if t else 0 for t in texts], 1 << 19):
-        lists = [shingle_hashes(t, k) for t in texts[a:b]]
+        out[a:b], sizes[a:b] = _prints([shingle_hashes(t, k) for t in texts[a:b]], words)
+    return out, sizes
+
+
+def set_fingerprints(texts: list[str | None], k: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``fingerprints``, but each different shingle counts once, as in the Jaccard similarity; and a hash of each set."""
+    out, sizes, keys = np.zeros((len(texts), words), np.uint64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
+    for a, b in slices([len(t) if t else 0 for t in texts], 1 << 19):
+        lists = [sorted(set(shingle_hashes(t, k))) for t in texts[a:b]]
+        out[a:b], sizes[a:b] = _prints(lists, words)
+        keys[a:b] = [xxh64_intdigest(np.array(x, np.uint64).tobytes(), 42) for x in lists]
+    return out, sizes, keys
+
+
+def _prints(lists: list[list[int]], words: int) -> tuple[np.ndarray, np.ndarray]:
+    out, sizes = np.zeros((len(lists), words), np.uint64), np.zeros(len(lists), np.int64)
+    if any(lists):
         n = np.array([len(x) for x in lists], np.int64)
-        if not n.any():
-            continue
-        sizes[a:b] = [len(set(x)) for x in lists]
+        sizes[:] = [len(set(x)) for x in lists]
         h = np.fromiter((x for l in lists for x in l), np.uint64, n.sum())
         # Segments of at most 255 hashes within a text.
         parts = -(-n // 255)
@@ -59,7 +74,7 @@ def fingerprints(texts: list[str | None], k: int, words: int = 1) -> tuple[np.nd
                 lanes = np.add.reduceat(_SPREAD[byte[:, i]], starts).view(np.uint8).reshape(-1, 8)
                 bits[:, 8 * i : 8 * i + 8] = np.add.reduceat(lanes, first[some], axis=0, dtype=np.int64)
             one = (2 * bits > n[some][:, None]).astype(np.uint8)
-            out[a:b, w][some] = np.packbits(one, axis=1, bitorder="little").view(np.uint64).ravel()
+            out[some, w] = np.packbits(one, axis=1, bitorder="little").view(np.uint64).ravel()
     return out, sizes
 
 
@@ -239,41 +254,105 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return rows.join(answer, "w0").select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def exact_links(sets: list[np.ndarray], home: int, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, child and root, of the pairs of ``sets`` (arrays of different values) with a Jaccard similarity of
+    ``similarity`` or more: those of the first ``home`` sets with the others, or among all if there are no others.
+
+    Only pairs that verified pairs have joined already are left out. A set meets one member of each joined group first,
+    then all sets that are still apart from it."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    marked, label = np.zeros(len(values), bool), np.arange(n)
+    top, bottom = similarity.numerator, similarity.denominator
+    for i in np.flatnonzero(sizes[:home]).tolist():
+        j = np.arange(i + 1 if home == n else home, n)
+        j = j[(label[j] != label[i]) & (bottom * np.minimum(sizes[i], sizes[j]) >= top * np.maximum(sizes[i], sizes[j]))]
+        if not len(j):
+            continue
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        for some in (j[np.unique(label[j], return_index=True)[1]], j):
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            ends = np.cumsum(sizes[some])
+            at = np.repeat(starts[some] - ends + sizes[some], sizes[some]) + np.arange(ends[-1])
+            shared = np.add.reduceat(marked[ids[at]], ends - sizes[some], dtype=np.int64)
+            hit = some[bottom * shared >= top * (sizes[i] + sizes[some] - shared)]
+            label = _union(label, np.full(len(hit), label[i]), label[hit])
+        marked[own] = False
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
+def verified_links(suspects: DataFrame, k: int, similarity: Fraction, mass: int = 1 << 21) -> DataFrame:
+    """Forest edges ``a``, ``b`` (keys) of the pairs within each ``root`` whose shingle sets have a Jaccard ``similarity`` or
+    more. ``suspects`` has ``key``, ``root``, ``size`` (different shingles) and ``text``, a row for each key.
+
+    Groups are bundled to about ``mass`` shingles a task. A group of more is split into tiles of about as many, and each
+    two tiles meet in a task of their own, so that no task grows with a group."""
+    total = suspects.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tiles = F.ceil(F.col("mass") / mass).cast("long")
+    weighed = suspects.groupBy("root").agg(F.sum("size").alias("mass"))
+    own = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("key", F.lit(1)), "tiles")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // mass)))))
+    met = F.when(F.col("tiles") > 1, F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).otherwise(F.array("tile"))
+    dealt = suspects.join(weighed.select("root", tiles.alias("tiles")), "root").withColumn("tile", own).withColumn("met", F.explode(met))
+    dealt = dealt.select("key", "root", "text", "tile", F.when(F.col("tiles") > 1, F.col("root")).alias("only"), F.least("tile", "met").alias("low"), F.greatest("tile", "met").alias("high"))
+
+    def verify(where: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, part in frame.sort_values(["root", "tile", "key"]).groupby("root", sort=False):
+            key, home = part["key"].to_numpy(), int((part["tile"] == where[1]).sum())
+            child, root = exact_links([np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in part["text"]], home, similarity)
+            a.append(key[child])
+            b.append(key[root])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return dealt.groupBy("only", "low", "high").applyInPandas(verify, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id (ties: by a hash of the text);
     columns and types stay. Null and empty texts, and those without words, are alike, so one of them stays; a null id comes
     after all others.
 
-    Fingerprints have ``bits`` bits over ``k``-word shingles. The share of bits that differ tells the angle between two. They
-    link if it is that of sets with a Jaccard ``similarity`` or more, give or take the spread of the estimate (so that 19 in
-    20 pairs right at the threshold link), and if the larger has at most ``1 / similarity`` as many different shingles,
-    which such sets must. Sizes take the place of population counts when
-    tiles are skipped, as counts of fingerprints this far apart say nothing.
+    Rows are near-duplicates if the sets of their ``k``-word shingles have a Jaccard ``similarity`` or more, or if a chain
+    of such pairs joins them. Fingerprints of ``bits`` bits over these sets find the rows that may have a partner: the share
+    of bits that differ tells the angle between two, and the radius is that of the ``similarity`` plus six times the spread
+    of the estimate. The larger set has at most ``1 / similarity`` as many shingles, and sizes take the place of population
+    counts when tiles are skipped, as counts of fingerprints this far apart say nothing. Within each group that such links
+    join, the sets themselves are then compared (``verified_links``), and only those pairs count.
     """
     words = bits // 64
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    radius = int(np.ceil(bits * share + 1.64 * np.sqrt(bits * share * (1 - share))))
-    first = int(np.ceil(radius / words + 2.5 * np.sqrt(64 * share * (1 - share))))
+    radius = int(np.ceil(bits * share + 6 * np.sqrt(bits * share * (1 - share))))
+    first = int(np.ceil(64 * share + 4.5 * np.sqrt(64 * share * (1 - share))))
     names = [f"w{i}" for i in range(words)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = fingerprints(batch.column(2).to_pylist(), k, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i].copy().view(np.int64)) for i in range(words)), pa.array(sizes)], names=["did", "rk", *names, "size"])
+            found, sizes, sets = set_fingerprints(batch.column(2).to_pylist(), k, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets.view(np.int64)), *(pa.array(found[:, i].copy().view(np.int64)) for i in range(words)), pa.array(sizes)], names=["did", "rk", "key", *names, "size"])
 
     keyed = docs.withColumn("__kn_rk", row_key(doc_id, text))
     own = keyed.select(F.col(doc_id).cast("long").alias("did"), F.col("__kn_rk").alias("rk"), F.col(text).alias("text"))
-    rows = materialize(own.mapInArrow(sketch, f"did long, rk long{''.join(f', {c} long' for c in names)}, size long"), "prints")
-    key = F.xxhash64(*names, "size")
+    rows = materialize(own.mapInArrow(sketch, f"did long, rk long, key long{''.join(f', {c} long' for c in names)}, size long"), "prints")
     firsts = F.min(F.struct(F.col("did").isNull().alias("none"), "did", "rk")).alias("least")
-    kinds = materialize(rows.groupBy(key.alias("key"), *names, "size").agg(firsts), "kinds")
+    kinds = materialize(rows.groupBy("key", *names, "size").agg(firsts), "kinds")
     per_cell = np.log(1 / similarity)
 
     def scaled(prints: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(size, 1)) * 1000).astype(np.int64)[:, None]
 
     links = tiled_links(kinds, words, scaled, lambda box: (box[:, 0] / (1000 * per_cell)).astype(np.int64), lambda c: [c + 1], radius=radius, first_radius=first, gap=int(1000 * per_cell))
-    roots = connected_components(links, "a", "b")
+    maybe = connected_components(links, "a", "b")
+    groups = maybe.select(F.col("node").alias("key"), "root").unionAll(maybe.select(F.col("root").alias("key"), "root").distinct())
+    asked = kinds.join(groups, "key").select("key", "root", "size", F.col("least.did").alias("__kn_did"), F.col("least.rk").alias("__kn_own"))
+    texts = own.join(asked, F.col("did").eqNullSafe(F.col("__kn_did")) & (F.col("rk") == F.col("__kn_own")))
+    suspects = materialize(texts.groupBy("key", "root", "size").agg(F.first("text").alias("text")), "suspects")
+    roots = connected_components(verified_links(suspects, k, Fraction(str(similarity))), "a", "b")
+    drop_materialized(suspects)
     named = kinds.join(roots, kinds["key"] == roots["node"], "left").select("least", F.coalesce("root", "key").alias("root"))
     kept = materialize(named.groupBy("root").agg(F.min("least").alias("least")).select("least.did", "least.rk"), "kept")
     drop_materialized(rows)

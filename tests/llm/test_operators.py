@@ -2,6 +2,7 @@
 other columns."""
 
 import random
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -234,6 +235,38 @@ def test_drop_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 2, 4]
 
 
+def _sharing(seed, n, share):
+    """Two texts of n shingles each with a Jaccard similarity of about ``share``: they differ in a stretch at the end."""
+    words, shared = _unlike(seed, n + 4), round(2 * n * share / (1 + share))
+    return " ".join(words), " ".join([*words[: shared + 4], *_unlike(seed + 50_000, n - shared)])
+
+
+def test_near_duplicates_are_those_of_the_sets(spark):
+    pairs = [_sharing(1000 + i, n, share) for i, (n, share) in enumerate((n, s / 100) for n in (9, 60, 190) for s in range(60, 95, 2))]
+    pairs += [(" ".join(w := _unlike(2000 + i, 4 * m + 4)), " ".join([*w, *_unlike(3000 + i, m)])) for i, m in enumerate((1, 2, 4, 7))]  # contained, 4 : 5
+    once = " ".join(_unlike(4000, 80))
+    pairs.append((once, " ".join([once, *[" ".join(once.split()[:20])] * 12])))  # repeats do not weigh
+    chain = [" ".join(_unlike(5000, 130)[i : i + 104]) for i in range(0, 24, 8)]  # neighbours at 0.85, ends at 0.72
+    texts = [t for p in pairs for t in p] + chain + [None]
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 > 0]
+    roots = components_of(range(len(texts)), links)
+    assert 0 < len(links) < len(pairs)
+    got = simhash.drop_near_duplicates(_docs(spark, texts))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(roots.values()))
+
+
+def test_verified_links_in_tiles(spark):
+    words = _unlike(6000, 400)
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 300, 4)] + [" ".join(words[i : i + 60]) for i in range(2, 300, 30)]
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    rows = spark.createDataFrame([(i, i % 2, len(sets[i]), t) for i, t in enumerate(texts)], "key long, root long, size long, text string")
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if i % 2 == j % 2 and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4]
+    for mass in (1 << 21, 500):  # in one bundle, and in several tiles
+        edges = simhash.verified_links(rows, 5, Fraction("0.8"), mass).collect()
+        assert components_of(range(len(texts)), [(r["a"], r["b"]) for r in edges]) == components_of(range(len(texts)), links)
+
+
 def _unlike(seed, n):
     pick = random.Random(seed)
     return ["".join(pick.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
