@@ -340,12 +340,12 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     rows = materialize(own.mapInArrow(sketch, f"did long, rk long, key long{''.join(f', {c} long' for c in names)}, size long"), "prints")
     firsts = F.min(F.struct(F.col("did").isNull().alias("none"), "did", "rk")).alias("least")
     kinds = materialize(rows.groupBy("key", *names, "size").agg(firsts), "kinds")
-    per_cell = np.log(1 / similarity)
+    gap = int(np.ceil(1000 * np.log(1 / similarity))) + 1  # the floors of sizes in the allowed ratio are this far apart at most
 
     def scaled(prints: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(size, 1)) * 1000).astype(np.int64)[:, None]
 
-    links = tiled_links(kinds, words, scaled, lambda box: (box[:, 0] / (1000 * per_cell)).astype(np.int64), lambda c: [c + 1], radius=radius, first_radius=first, gap=int(1000 * per_cell))
+    links = tiled_links(kinds, words, scaled, lambda box: box[:, 0] // gap, lambda c: [c + 1], radius=radius, first_radius=first, gap=gap)
     maybe = connected_components(links, "a", "b")
     groups = maybe.select(F.col("node").alias("key"), "root").unionAll(maybe.select(F.col("root").alias("key"), "root").distinct())
     asked = kinds.join(groups, "key").select("key", "root", "size", F.col("least.did").alias("__kn_did"), F.col("least.rk").alias("__kn_own"))

@@ -256,6 +256,12 @@ def test_near_duplicates_are_those_of_the_sets(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(roots.values()))
 
 
+def test_contained_sets_of_every_size_meet(spark):
+    pairs = [(" ".join(w := _unlike(7000 + i, a + 4)), " ".join([*w, *_unlike(8000 + i, b - a)])) for i, (a, b) in enumerate(((12, 15), (40, 50), (64, 80), (152, 190), (200, 250)))]
+    got = simhash.drop_near_duplicates(_docs(spark, [t for p in pairs for t in p]))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2, 4, 6, 8]
+
+
 def test_verified_links_in_tiles(spark):
     words = _unlike(6000, 400)
     texts = [" ".join(words[i : i + 60]) for i in range(0, 300, 4)] + [" ".join(words[i : i + 60]) for i in range(2, 300, 30)]
