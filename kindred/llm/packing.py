@@ -71,9 +71,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """No packing uses fewer bins: the best of the dual feasible functions that round lengths above ``capacity - k`` up to
     a whole bin and drop those below ``k``, for every k up to half the capacity, and of those that round to multiples of
     ``capacity / (k + 1)``."""
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    return bound(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity) if len(lengths) else 0
+
+
+def bound(counts: np.ndarray, capacity: int) -> int:
+    """The same, of ``counts[i]`` items of length i."""
     sizes = np.arange(capacity + 1, dtype=np.int64)
     total = np.concatenate([[0], np.cumsum(counts * sizes)])  # total[i]: tokens in items shorter than i
     number = np.concatenate([[0], np.cumsum(counts)])
@@ -108,15 +110,17 @@ def pack(
     vocab: str | None = None,
     ranks: str | None = None,
     per_part: int = 16_384,
-    rounds: int = 2,
+    rounds: int | None = None,
     fan_in: int = 8,
 ) -> DataFrame:
     """Packs all documents into as few sequences of at most ``capacity`` tokens as it can.
 
     Each partition of about ``per_part`` pieces is packed by best fit decreasing. Dual feasible functions give a lower bound
-    of its bins; a partition that meets its bound is certified and stays. The others have gaps: in each of ``rounds``
-    rounds, groups of about ``fan_in`` of them exchange the documents of their unfilled bins, which are packed together
-    again; the outcome stands if it saves bins. Full pieces are sequences of their own and need no packing.
+    of its bins and of those of all pieces. While the total is above its bound, groups of about ``fan_in`` partitions, and
+    of about ``fan_in * per_part`` pieces at most, exchange the documents of their unfilled bins (of partitions that meet their own
+    bound: of the emptiest bin), which are packed together again; the outcome stands if it saves bins. That ends when one
+    group is left, or when a round saves nothing and brings no fewer groups, or after ``rounds`` rounds if that is given.
+    Full pieces are sequences of their own and need no packing.
 
     Returns, a row for each piece, ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and
     ``offset``. A null text is empty: one piece that holds ``end_id`` alone. Ids may be null or repeat: each row is a
@@ -126,12 +130,15 @@ def pack(
     cut_up = materialize(pieces(docs, capacity, end_id, vocab, ranks, doc_id, text), "pieces")
     whole = cut_up.filter(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id() * 2 + 1, "offset": F.lit(0).cast("long")})
     loose = cut_up.filter(F.col("length") < capacity)
-    n = loose.count()
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in loose.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    n, least = int(counts.sum()), bound(counts, capacity)
     columns = f"{PIECES}, sequence_id long, offset long"
     state = f"{columns}, part long, gap long"
     n_parts = parts(n, per_part)
 
-    # Sequence ids of packed bins are even, 2 * (round * 2^40 + part * 2^22 + bin), so no two rounds or parts clash.
+    # Sequence ids of packed bins are even, 2 * (round * 2^48 + part * 2^24 + bin), so no two rounds or parts clash.
     def packer(turn: int):
         def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             part = int(key[0])
@@ -139,7 +146,7 @@ def pack(
             frame = _packed(frame, capacity, 0)
             fresh = frame["sequence_id"].to_numpy()
             if len(frame) and (turn == 0 or not (frame["origin"] == frame["sequence_id"]).all()):
-                fresh = 2 * ((turn << 56) + (part << 28) + fresh)
+                fresh = 2 * ((turn << 48) + (part << 24) + fresh)
             gap = len(np.unique(fresh)) - lower_bound(frame["length"].to_numpy(), capacity)
             return frame.assign(sequence_id=fresh, part=part, gap=gap)[[c.split()[0] for c in state.split(", ")]]
 
@@ -149,17 +156,22 @@ def pack(
     start = loose.withColumns({"sequence_id": blank, "offset": blank, "part": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(n_parts)), "origin": F.lit(-2).cast("long")})
     now = materialize(start.groupBy("part").applyInPandas(packer(0), state), "packed")
     done: list[DataFrame] = []
-    for turn in range(1, rounds + 1):
-        gaps = now.filter("gap > 0").agg(F.count_distinct("part").alias("parts")).first()["parts"]
-        if gaps < 2:
-            break
-        fill = now.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-        marked = materialize(now.join(fill, "sequence_id"), "fill")
-        goes = (F.col("gap") > 0) & (F.col("fill") < capacity)
-        done.append(marked.filter(~goes).select(now.columns))
-        groups = parts(gaps, fan_in)
-        swap = marked.filter(goes).drop("fill", "gap").withColumns({"origin": F.col("sequence_id"), "part": F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(groups))})
+    turn, stay, groups = 0, 0, n_parts
+    bins = now.agg(F.count_distinct("sequence_id")).first()[0]
+    while groups > 1 and stay + bins > least and turn != rounds:
+        turn += 1
+        fill = now.groupBy("part", "sequence_id").agg(F.sum("length").alias("fill"))
+        fill = fill.join(fill.groupBy("part").agg(F.min(F.struct("fill", "sequence_id")).alias("last")), "part").select("sequence_id", "fill", (F.col("last.sequence_id") == F.col("sequence_id")).alias("emptiest"))
+        marked = materialize(now.join(fill, "sequence_id").withColumn("goes", (F.col("fill") < capacity) & ((F.col("gap") > 0) | F.col("emptiest"))), "fill")
+        done.append(marked.filter(~F.col("goes")).select(now.columns))
+        going = marked.filter("goes").agg(F.count("*").alias("rows"), F.count_distinct("sequence_id").alias("bins"), F.count_distinct("part").alias("parts")).first()
+        stay += bins - going["bins"]
+        before, groups = groups, max(parts(going["parts"], fan_in), parts(going["rows"], fan_in * per_part))
+        swap = marked.filter("goes").drop("fill", "gap", "emptiest", "goes").withColumns({"origin": F.col("sequence_id"), "part": F.pmod(F.xxhash64("part", "sequence_id", F.lit(turn)) if groups >= going["parts"] else F.xxhash64("part", F.lit(turn)), F.lit(groups))})
         now = materialize(swap.groupBy("part").applyInPandas(packer(turn), state), "packed")
+        bins = now.agg(F.count_distinct("sequence_id")).first()[0]
+        if bins == going["bins"] and groups >= before:
+            break
     out = whole.select([c.split()[0] for c in columns.split(", ")])
     for frame in [*done, now]:
         out = out.unionByName(frame.select(out.columns))

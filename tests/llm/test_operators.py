@@ -300,6 +300,15 @@ def test_packing(spark, per_part):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_exchanges_until_nothing_is_saved(spark):
+    docs = _docs(spark, [_text(i, 1 + 53 * i % 700) for i in range(240)])
+    rows = packing.pack(docs, per_part=12, fan_in=3).toPandas()
+    bins = rows.sort_values(["sequence_id", "offset"])
+    assert (bins["offset"] == bins.groupby("sequence_id")["length"].cumsum() - bins["length"]).all()
+    assert sorted(rows["doc_id"]) == list(range(240)) and bins.groupby("sequence_id")["length"].sum().max() <= 1024
+    assert rows["sequence_id"].nunique() <= packing.lower_bound(rows["length"].to_numpy(), 1024) + 4  # two rounds left 11 more than the bound
+
+
 def test_bounds_hold():
     pick = random.Random(2)
     for _ in range(200):
