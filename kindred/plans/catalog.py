@@ -121,15 +121,14 @@ _add(
 )
 
 
-def _diagnostics(s: SparkSession, d: str) -> DataFrame:
-    link = Linkage(s, d)
+def _diagnostics(link: Linkage) -> DataFrame:
     return evaluate.block_diagnostics(link.evidence, evaluate.true_pairs(link.truth))
 
 
 _BLOCK_LIST = ", ".join(f"({i + 1}, '{b}')" for i, b in enumerate(blocking.BLOCKS[:7]))
 _add(
     "block_diagnostics",
-    _diagnostics,
+    lambda s, d: _diagnostics(Linkage(s, d)),
     f"""SELECT block_order::INT AS block_order, block,
     (SELECT count(*) FROM judged WHERE mask & (1 << (block_order - 1)) <> 0) AS candidate_pairs, (SELECT count(DISTINCT source1_entity_id) FROM judged WHERE mask & (1 << (block_order - 1)) <> 0) AS s1_with_candidates,
     (SELECT count(*) FROM judged WHERE mask & (1 << (block_order - 1)) <> 0 AND is_true) AS individual_recovered_true_pairs,
@@ -141,14 +140,13 @@ _add(
 )
 
 
-def _strategies(s: SparkSession, d: str) -> DataFrame:
-    link = Linkage(s, d)
+def _strategies(link: Linkage) -> DataFrame:
     return evaluate.strategy_stats(link.evidence, evaluate.true_pairs(link.truth), link.s1)
 
 
 _add(
     "strategy_stats",
-    _strategies,
+    lambda s, d: _strategies(Linkage(s, d)),
     """, marked AS (SELECT 'v1' AS strategy, * FROM judged UNION ALL SELECT 'strong', * FROM judged WHERE strong UNION ALL SELECT 'name_and_address', * FROM judged WHERE both_words
     UNION ALL SELECT 'v2', * FROM judged WHERE v2 UNION ALL SELECT 'v3', * FROM judged WHERE v3),
     each AS (SELECT strategy, source1_entity_id, count(*) AS n, count(*) FILTER (is_true) AS r FROM marked GROUP BY ALL)
@@ -166,8 +164,7 @@ def _near_truth(link: Linkage) -> DataFrame:
     return q.filter("word <> ''").join(t, ["country_key", "word"]).select("source1_entity_id", "true_entity_id")
 
 
-def _missed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    link = Linkage(s, d)
+def _missed(link: Linkage) -> tuple[DataFrame, DataFrame]:
     truth = _near_truth(link)
     return misses.missed(misses.pair_evidence(truth, link.s1_views, link.targets, link.postings)), truth
 
@@ -180,16 +177,16 @@ missed AS (SELECT source1_entity_id, true_entity_id, CASE WHEN len(sn) > 0 AND l
 WHEN len(sa) > 0 THEN 'shared_address_tokens_but_suppressed' ELSE 'no_exact_or_indexed_token_evidence' END AS reason FROM near
 WHERE NOT exact_match AND NOT EXISTS (SELECT 1 FROM known k WHERE k.country_key = near.country_key AND ((k.rank = 5 AND list_contains(near.sn, k.value)) OR (k.rank = 6 AND list_contains(near.sa, k.value)))))
 """
-_add("miss_reasons", lambda s, d: _missed(s, d)[0].select("source1_entity_id", "true_entity_id", "reason"), _MISSES + "SELECT * FROM missed")
+_add("miss_reasons", lambda s, d: _missed(Linkage(s, d))[0].select("source1_entity_id", "true_entity_id", "reason"), _MISSES + "SELECT * FROM missed")
 
 
-def _miss_summary(s: SparkSession, d: str) -> DataFrame:
-    found, truth = _missed(s, d)
+def _miss_summary(link: Linkage) -> DataFrame:
+    found, truth = _missed(link)
     return misses.miss_summary(found, truth.agg(F.count("*").alias("total")))
 
 
-_add("miss_summary", _miss_summary, _MISSES + "SELECT reason, count(*) AS missed_pairs, count(*) / (SELECT count(*) FROM missed) AS share_of_misses, count(*) / (SELECT count(*) FROM near) AS share_of_all_true_pairs FROM missed GROUP BY reason")
-_add("miss_examples", lambda s, d: misses.miss_examples(_missed(s, d)[0], 100))
+_add("miss_summary", lambda s, d: _miss_summary(Linkage(s, d)), _MISSES + "SELECT reason, count(*) AS missed_pairs, count(*) / (SELECT count(*) FROM missed) AS share_of_misses, count(*) / (SELECT count(*) FROM near) AS share_of_all_true_pairs FROM missed GROUP BY reason")
+_add("miss_examples", lambda s, d: misses.miss_examples(_missed(Linkage(s, d))[0], 100))
 _add(
     "name_similarity",
     lambda s, d: evaluate.true_pairs(Linkage(s, d).truth).withColumn("similarity", udfs.sequence_similarity("source1_entity_id", "true_entity_id")),
@@ -248,3 +245,20 @@ _add("profile_events", lambda s, d: profile.value_distribution(table(s, d, "even
 _HIST = "SELECT '{s}' AS scope, len(list_filter(string_split(matched_entity_ids, ','), lambda x: {c}))::INT AS match_count, count(*) AS count FROM truth GROUP BY 2"
 _add("match_histogram", lambda s, d: profile.match_histogram(Linkage(s, d).truth), " UNION ALL ".join(_HIST.format(s=s, c=c) for s, c in (("all", "x <> ''"), ("S2", "starts_with(x, 'S2-')"), ("S3", "starts_with(x, 'S3-')"))))
 _add("truth_summary", lambda s, d: profile.truth_summary(Linkage(s, d).truth), "SELECT count(*) AS queries, count(*) FILTER (matched_entity_ids = '') AS singletons, round(100.0 * count(*) FILTER (matched_entity_ids = '') / count(*), 4) AS singleton_pct, (SELECT count(*) FROM truth_pairs) AS pairs FROM truth")
+
+
+# The queries whose words are capped, with the caps of the index in place of ``MAX_DF``. No SQL: that of the others is
+# written for MAX_DF.
+_CAPPED: dict[str, Callable[[Linkage], DataFrame]] = {
+    **{f"index_{n}": lambda link, n=n: index.keyed(link.postings[n]) for n in index.TOKENS},
+    "index_name_ngram": lambda link: index.keyed(index.ngram_postings(link.targets)),
+    **{f"block_{n}": lambda link, n=n: blocking.block_pairs(link.s1, link.postings[n], n) for n in index.TOKENS},
+    "evidence": lambda link: link.evidence,
+    **{f"candidates_{n}": lambda link, n=n: blocking.candidates(link.evidence, getattr(blocking, n)()) for n in ("v1", "v2", "v3")},
+    "block_diagnostics": _diagnostics,
+    "strategy_stats": _strategies,
+    "miss_reasons": lambda link: _missed(link)[0].select("source1_entity_id", "true_entity_id", "reason"),
+    "miss_summary": _miss_summary,
+}
+for _name, _query in _CAPPED.items():
+    _add(f"{_name}_production", lambda s, d, q=_query: q(Linkage(s, d, production=True)))

@@ -9,7 +9,7 @@ from kindred.functions.lexicon import GENERIC_ADDRESS_TOKENS
 from kindred.functions.text import core_pattern
 from kindred.operators import blocking, index, normalize
 
-#: Words in more records than this are too common to index.
+#: Words in more records than this are too common to index, in the queries that have SQL.
 MAX_DF = 20
 
 
@@ -43,16 +43,17 @@ def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Linkage:
-    """Queries, targets, indexes and truth over the records of the documents or, for postal codes, of the customers."""
+    """Queries, targets, indexes and truth over the records of the documents or, for postal codes, of the customers.
+    ``production``: with the caps that indexes have by default."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, customers: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, customers: bool = False, production: bool = False):
         self.records = customer_records(spark, sf_dir) if customers else document_records(spark, sf_dir)
         self.views = normalize.normalize_folded(self.records)
         self.s1_views = self.views.filter("source = 'S1'").withColumnRenamed("entity_id", "source1_entity_id")
         self.s1 = normalize.query_records(self.views.filter("source = 'S1'"))
         self.s1_records = self.records.filter("source = 'S1'").withColumnRenamed("entity_id", "source1_entity_id")
         self.targets = normalize.entities(self.records.filter("source <> 'S1'"), folded=True)
-        self.postings = index.all_postings(self.targets, MAX_DF, MAX_DF)
+        self.postings = index.all_postings(self.targets) if production else index.all_postings(self.targets, MAX_DF, MAX_DF)
 
     @property
     def truth(self) -> DataFrame:
