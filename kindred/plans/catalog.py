@@ -90,28 +90,26 @@ for _name, _rule in (("v1", "true"), ("v2", "v2"), ("v3", "v3")):
     _add(f"candidates_{_name}", lambda s, d, n=_name: blocking.candidates(Linkage(s, d).evidence, getattr(blocking, n)()), f"SELECT source1_entity_id, candidate_entity_id FROM rated WHERE {_rule}")
 
 
-def _methods(s: SparkSession, d: str) -> DataFrame:
-    link = Linkage(s, d)
+def _retrieved(link: Linkage) -> DataFrame:
     return blocking.retrieve(link.s1, link.postings).select("source1_entity_id", "candidate_entity_id", F.array_join("methods", ",").alias("methods"))
 
 
 _NAMES = "CASE rank " + " ".join(f"WHEN {i} THEN '{b}'" for b, i in _RANK.items()) + " END"
-_add("retrieve_with_methods", _methods, f"SELECT source1_entity_id, candidate_entity_id, string_agg(DISTINCT {_NAMES}, ',' ORDER BY {_NAMES}) AS methods FROM found GROUP BY ALL")
+_add("retrieve_with_methods", lambda s, d: _retrieved(Linkage(s, d)), f"SELECT source1_entity_id, candidate_entity_id, string_agg(DISTINCT {_NAMES}, ',' ORDER BY {_NAMES}) AS methods FROM found GROUP BY ALL")
 
 # Evaluation.
 _add("ground_truth", lambda s, d: Linkage(s, d).truth, "SELECT * FROM truth")
 _add("true_pairs", lambda s, d: evaluate.true_pairs(Linkage(s, d).truth), "SELECT * FROM truth_pairs")
 
 
-def _report(s: SparkSession, d: str) -> DataFrame:
-    link = Linkage(s, d)
+def _reported(link: Linkage) -> DataFrame:
     return evaluate.per_s1_report(link.s1, blocking.candidates(link.evidence, blocking.v1()), evaluate.true_pairs(link.truth))
 
 
-_add("per_s1_report", _report, "SELECT * FROM report")
+_add("per_s1_report", lambda s, d: _reported(Linkage(s, d)), "SELECT * FROM report")
 _add(
     "blocking_summary",
-    lambda s, d: evaluate.summary(_report(s, d)),
+    lambda s, d: evaluate.summary(_reported(Linkage(s, d))),
     """SELECT *, CASE WHEN true_pairs = 0 THEN 0.0 ELSE recovered_pairs / true_pairs END AS pair_recall, CASE WHEN singletons = 0 THEN 0.0 ELSE clean_singletons / singletons END AS clean_singleton_rate,
     CASE WHEN multi_true = 0 THEN 0.0 ELSE multi_recovered / multi_true END AS multi_match_recall, CASE WHEN matched_queries = 0 THEN 0.0 ELSE fully_recovered / matched_queries END AS all_matches_rate FROM (
     SELECT count(*) AS queries, sum(true_count)::BIGINT AS true_pairs, sum(candidate_count)::BIGINT AS candidate_pairs, sum(recovered_count)::BIGINT AS recovered_pairs, avg(candidate_count) AS avg_candidates,
@@ -262,3 +260,19 @@ _CAPPED: dict[str, Callable[[Linkage], DataFrame]] = {
 }
 for _name, _query in _CAPPED.items():
     _add(f"{_name}_production", lambda s, d, q=_query: q(Linkage(s, d, production=True)))
+
+# Queries over every word of the documents, with those caps. No SQL: that of the others is written for twelve words.
+_WHOLE: dict[str, Callable[[Linkage], DataFrame]] = {
+    **_CAPPED,
+    "normalize_views": lambda link: link.views.select(*_VIEWS),
+    "normalize_views_unicode": lambda link: normalize.normalize(link.records).select(*_VIEWS),
+    "index_exact_address": lambda link: index.keyed(link.postings["exact_address"]),
+    "doc_freq_exact_address": lambda link: index.keyed(index.frequency(link.postings["exact_address"])),
+    "block_exact_address": lambda link: blocking.block_pairs(link.s1, link.postings["exact_address"], "exact_address"),
+    "retrieve_with_methods": _retrieved,
+    "per_s1_report": _reported,
+    "blocking_summary": lambda link: evaluate.summary(_reported(link)),
+    "profile_lengths": lambda link: profile.length_stats(link.records, _FIELDS[1:3]),
+}
+for _name, _query in _WHOLE.items():
+    _add(f"{_name}_whole", lambda s, d, q=_query: q(Linkage(s, d, production=True, whole=True)))

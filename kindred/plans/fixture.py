@@ -17,14 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record for each document: its first four words are the name, the next eight the address, its language the country.
-    ``full`` are all its words."""
+def document_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A record for each document: its first four words are the name, the next eight (``whole``: all others) the address,
+    its language the country. ``full`` are all its words."""
     folded = F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))
     words = F.split(F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")), " ")
     source = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
     base = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("country"), source.alias("source"), words.alias("w"))
-    return base.select("source", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("entity_id"), F.array_join(F.slice("w", 1, 4), " ").alias("business_name"), F.array_join(F.slice("w", 5, 8), " ").alias("business_address"), "country", F.xxhash64(F.array_join("w", " ")).alias("full"))
+    return base.select("source", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("entity_id"), F.array_join(F.slice("w", 1, 4), " ").alias("business_name"), F.array_join(F.slice("w", F.lit(5), F.greatest(F.size("w"), F.lit(1))) if whole else F.slice("w", 5, 8), " ").alias("business_address"), "country", F.xxhash64(F.array_join("w", " ")).alias("full"))
 
 
 def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,10 @@ def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class Linkage:
     """Queries, targets, indexes and truth over the records of the documents or, for postal codes, of the customers.
-    ``production``: with the caps that indexes have by default."""
+    ``production``: with the caps that indexes have by default. ``whole``: with every word of the documents."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, customers: bool = False, production: bool = False):
-        self.records = customer_records(spark, sf_dir) if customers else document_records(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, customers: bool = False, production: bool = False, whole: bool = False):
+        self.records = customer_records(spark, sf_dir) if customers else document_records(spark, sf_dir, whole)
         self.views = normalize.normalize_folded(self.records)
         self.s1_views = self.views.filter("source = 'S1'").withColumnRenamed("entity_id", "source1_entity_id")
         self.s1 = normalize.query_records(self.views.filter("source = 'S1'"))

@@ -1,4 +1,4 @@
-"""Registered linkage queries with the caps of production."""
+"""Registered linkage queries with the caps of production, and over whole texts."""
 
 import pytest
 
@@ -23,3 +23,12 @@ def test_production_caps_keep_words_of_many_records(spark, folder):
         assert run(f"index_rare_{name}_production").filter(f"lookup_key like '%{key}'").count() == 60
     assert run("index_name_ngram_production").filter("lookup_key like '%^com'").count() == 60
     assert not [n for n in catalog.ORACLE_SQL if n.endswith("_production")]
+
+
+def test_words_after_the_twelfth_are_indexed(spark, folder):
+    run = lambda name: catalog.QUERIES[name](spark, folder)
+    assert run("index_rare_address_token_production").filter("lookup_key like '%later' or lookup_key like '%x13'").count() == 0
+    assert run("index_rare_address_token_whole").filter("lookup_key like '%later' or lookup_key like '%x13'").count() == 120
+    assert run("normalize_views_whole").filter("size(split(address_nfkc, ' ')) = 10").count() == 90
+    assert run("evidence_whole").filter("address_overlap = 2").count() == 30 * 60
+    assert not [n for n in catalog.ORACLE_SQL if n.endswith("_whole")]
