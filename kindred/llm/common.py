@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Prefix of columns that operators add for their own use; inputs may not use it.
-OWN = "__kn_"
+#: Folders that this program has made and marked for deletion.
+_ROOTS: set[str] = set()
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of an operator's own, like ``names``, that none of ``columns`` has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        own = f"__kn_{name}"
+        while own in taken:
+            own += "_"
+        out.append(own)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +35,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a fresh one of our own where it is unset, as
-    in tests on one machine."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, a temporary folder that ends
+    with the program, if all of Spark runs in one process, as in tests; else an error, as executors share no local folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='kindred-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _local()
+
+
+@cache
+def _local() -> str:
+    folder = tempfile.mkdtemp(prefix="kindred-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+def _session_dir(spark: SparkSession) -> str:
+    """A folder of this program's own in the shared folder. The JVM deletes it when it ends."""
+    root = f"{scratch_dir(spark)}/kindred-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return root
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back. Cuts the lineage, survives lost executors, and
     forgets the partitioning, so that a later join shuffles both sides and adaptive execution can split hot keys."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,6 +90,13 @@ def parts(n_rows: int, per_part: int) -> int:
     return max(1, -(-n_rows // per_part))
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``most`` at most, for functions that turn nested columns into Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, most):
+            yield batch.slice(i, most)
+
+
 def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose lengths sum to ``most`` at most, one item at least."""
     start = total = 0
