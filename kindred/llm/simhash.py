@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from kindred.llm.common import drop_materialized, materialize, row_key, slices
+from kindred.llm.common import drop_materialized, materialize, row_key, slices, unused
 from kindred.llm.components import connected_components
 
 #: spread[b]: the bits of byte b, each in a byte of its own, so that up to 255 of them add up without a carry.
@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             found, _ = fingerprints(batch.column(1).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].view(np.int64))], names=["doc_id", "w0"])
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialize(own.mapInArrow(sketch, "doc_id long, w0 long"), "prints")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = materialize(own.mapInArrow(sketch, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, w0 long"), "prints")
     kinds = materialize(rows.groupBy("w0").agg(F.min("doc_id").alias("least")), "kinds")
 
     def halves(box: np.ndarray) -> np.ndarray:
@@ -335,9 +335,10 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
             found, sizes, sets = set_fingerprints(batch.column(2).to_pylist(), k, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets.view(np.int64)), *(pa.array(found[:, i].copy().view(np.int64)) for i in range(words)), pa.array(sizes)], names=["did", "rk", "key", *names, "size"])
 
-    keyed = docs.withColumn("__kn_rk", row_key(doc_id, text))
-    own = keyed.select(F.col(doc_id).cast("long").alias("did"), F.col("__kn_rk").alias("rk"), F.col(text).alias("text"))
-    rows = materialize(own.mapInArrow(sketch, f"did long, rk long, key long{''.join(f', {c} long' for c in names)}, size long"), "prints")
+    key, did, mine, nth = unused(docs.columns, "rk", "did", "own", "nth")
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    own = keyed.select(F.col(doc_id).alias("did"), F.col(key).alias("rk"), F.col(text).alias("text"))
+    rows = materialize(own.mapInArrow(sketch, f"did {own.schema['did'].dataType.simpleString()}, rk long, key long{''.join(f', {c} long' for c in names)}, size long"), "prints")
     firsts = F.min(F.struct(F.col("did").isNull().alias("none"), "did", "rk")).alias("least")
     kinds = materialize(rows.groupBy("key", *names, "size").agg(firsts), "kinds")
     gap = int(np.ceil(1000 * np.log(1 / similarity))) + 1  # the floors of sizes in the allowed ratio are this far apart at most
@@ -348,15 +349,15 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     links = tiled_links(kinds, words, scaled, lambda box: box[:, 0] // gap, lambda c: [c + 1], radius=radius, first_radius=first, gap=gap)
     maybe = connected_components(links, "a", "b")
     groups = maybe.select(F.col("node").alias("key"), "root").unionAll(maybe.select(F.col("root").alias("key"), "root").distinct())
-    asked = kinds.join(groups, "key").select("key", "root", "size", F.col("least.did").alias("__kn_did"), F.col("least.rk").alias("__kn_own"))
-    texts = own.join(asked, F.col("did").eqNullSafe(F.col("__kn_did")) & (F.col("rk") == F.col("__kn_own")))
+    asked = kinds.join(groups, "key").select("key", "root", "size", F.col("least.did").alias("of_did"), F.col("least.rk").alias("of_rk"))
+    texts = own.join(asked, F.col("did").eqNullSafe(F.col("of_did")) & (F.col("rk") == F.col("of_rk")))
     suspects = materialize(texts.groupBy("key", "root", "size").agg(F.first("text").alias("text")), "suspects")
     roots = connected_components(verified_links(suspects, k, Fraction(str(similarity))), "a", "b")
     drop_materialized(suspects)
     named = kinds.join(roots, kinds["key"] == roots["node"], "left").select("least", F.coalesce("root", "key").alias("root"))
     kept = materialize(named.groupBy("root").agg(F.min("least").alias("least")).select("least.did", "least.rk"), "kept")
     drop_materialized(rows)
-    kept = kept.select(F.col("did").alias("__kn_did"), F.col("rk").alias("__kn_own"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__kn_did")) & (F.col("__kn_rk") == F.col("__kn_own"))
-    first = F.row_number().over(Window.partitionBy("__kn_rk", "__kn_did").orderBy(F.lit(1)))
-    return keyed.join(kept, same).withColumn("__kn_nth", first).filter("__kn_nth = 1").select(*docs.columns)
+    kept = kept.select(F.col("did").alias(did), F.col("rk").alias(mine))
+    same = F.col(doc_id).eqNullSafe(F.col(did)) & (F.col(key) == F.col(mine))
+    first = F.row_number().over(Window.partitionBy(key, did).orderBy(F.lit(1)))
+    return keyed.join(kept, same).withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)

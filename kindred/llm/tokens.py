@@ -242,5 +242,5 @@ def count_with_edits(
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], names=names)
 
     names = ["doc_id", "n_chars", "n_tokens", "n_tokens_edited", "n_chars_encoded_again"]
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return own.mapInArrow(run, ", ".join([f"doc_id {own.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names[1:])]))
