@@ -15,6 +15,12 @@ from kindred.llm.common import slices
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
+#: Characters that are looked at in one go.
+PIECE = 1 << 18
+#: Log probabilities that are looked up in one go.
+LOOKUPS = 1 << 20
+#: As many languages as a threshold table for a broadcast may have.
+FEW_LANGS = 10_000
 
 
 @cache
@@ -26,32 +32,45 @@ def _letters() -> np.ndarray:
     return table
 
 
+def _hashed(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Buckets of the runs of ``n`` codes."""
+    h = np.full(len(codes) - n + 1, n, np.uint32)
+    for j in range(n):
+        h = (h ^ codes[j : len(codes) - n + 1 + j]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return h >> np.uint32(32 - bits)
+
+
 def grams(texts: list[str], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Hashed n-grams of the lower-cased texts, runs of other characters than letters as one space, in pieces of bounded
-    size: number of the first text, number of each gram's text from there, and its bucket. A text of
-    over four million characters comes in several pieces; no gram spans two texts or pieces."""
-    lengths = [len(t) for t in texts]
-    for a, b in slices(lengths, 1 << 20):
+    size: number of the first text, number of each gram's text from there (in order), and its bucket. A long text comes in
+    several pieces that carry the last codes of the piece before along, so it has the grams it would have in one."""
+    for a, b in slices([len(t) for t in texts], PIECE):
         low = [t.lower() for t in texts[a:b]]
-        for cut in range(0, max(map(len, low)) or 1, 1 << 22):
-            part = [t[cut : cut + (1 << 22)] for t in low]
-            codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-            codes = _letters()[codes]
+        carry = np.empty(0, np.uint32)
+        for cut in range(0, max(map(len, low)) or 1, PIECE):
+            part = low if b - a > 1 else [low[0][cut : cut + PIECE]]
+            if b - a > 1 and cut:
+                break
+            codes = _letters()[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
             doc = np.repeat(np.arange(len(part)), [len(t) for t in part])
+            codes, doc = np.concatenate([carry, codes]), np.concatenate([np.zeros(len(carry), doc.dtype), doc])
             space = codes == 32
-            use = ~(space & np.concatenate([[False], space[:-1] & (doc[1:] == doc[:-1])])) if len(codes) else space
-            codes, doc = codes[use].astype(np.uint32), doc[use]
+            use = ~space
+            use[1:] |= ~space[:-1] | (doc[1:] != doc[:-1])
+            use[:1] = True
+            use[: len(carry)] = True
+            codes, doc = codes[use], doc[use]
             for n in ORDERS:
                 if len(codes) < n:
                     continue
-                h = np.full(len(codes) - n + 1, n, np.uint32)
-                for j in range(n):
-                    h = (h ^ codes[j : len(codes) - n + 1 + j]) * np.uint32(0x9E3779B1)
-                    h ^= h >> np.uint32(15)
-                same = doc[n - 1 :] == doc[: len(codes) - n + 1]
+                h = _hashed(codes, n, bits)
+                same = doc[n - 1 :] == doc[: len(h)]
+                same[: max(len(carry) - n + 1, 0)] = False  # those ended in the piece before
                 if n == 1:  # a lone space says nothing
                     same &= codes != 32
-                yield a, doc[: len(h)][same], (h >> np.uint32(32 - bits))[same]
+                yield a, doc[: len(h)][same], h[same]
+            carry = codes[max(len(codes) - max(ORDERS) + 1, 0) :]
 
 
 class Model(NamedTuple):
@@ -61,53 +80,83 @@ class Model(NamedTuple):
     bits: int
 
 
-def train(docs: DataFrame, *, text: str, lang: str, bits: int = 16, alpha: float = 0.1, max_docs: int = 10_000, max_langs: int = 256) -> Model:
-    """Learns from rows with a text and a language. ``max_docs`` bounds the rows that are used: where there are more, a hash
-    of the text picks about so many, alike for every language. A language beyond the ``max_langs`` most frequent is not
-    learned. Empty tables give a model without languages."""
+def quotas(counts: list[int], most: int) -> list[float]:
+    """The share of each count to take, so that ``most`` are taken in all and small ones are taken whole before large ones."""
+    out, left = [0.0] * len(counts), float(most)
+    for k, i in enumerate(sorted(range(len(counts)), key=counts.__getitem__)):
+        take = min(counts[i], left / (len(counts) - k))
+        out[i], left = take / counts[i], left - take
+    return out
+
+
+def train(docs: DataFrame, *, text: str, lang: str, bits: int = 16, alpha: float = 0.1, max_docs: int = 10_000) -> Model:
+    """Learns from rows with a text and a language; equal texts of a language count once for the n-grams, every row counts
+    for how frequent its language is.
+
+    ``max_docs`` bounds the rows that are used: where there are more, each language has a share of them, small languages
+    first, and a hash of the text picks about so many, the text with the least hash always. So a language of which there is
+    a row is learned, and one of which nothing was learned is no answer. Empty tables give a model without languages."""
+    spark = docs.sparkSession
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    seen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs, total = sorted(r["lang"] for r in seen), sum(r["count"] for r in seen)
-    if not langs:
-        return Model([], np.empty(0), np.empty((1 << bits, 0)), bits)
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("at", F.pmod("h", F.lit(1 << 30)))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.01).alias("kinds"), F.min("at").alias("least")).collect()
+    seen = sorted(seen, key=lambda r: r["lang"])
+    if not seen:
+        return Model([], np.empty(0), np.empty((1 << bits, 0), np.float32), bits)
+    shares = quotas([max(r["kinds"], 1) for r in seen], max_docs)
+    # Shares are taken a little under 1 only where there are too many, so that all of a small language are taken.
+    below = [(r["lang"], max(int((1 << 30) * s), r["least"] + 1) if s < 1 else 1 << 30) for r, s in zip(seen, shares, strict=True)]
+    if sum(r["kinds"] for r in seen) > max_docs:
+        limits = spark.createDataFrame(below, "lang string, below long")
+        rows = rows.join(F.broadcast(limits) if len(below) <= FEW_LANGS else limits, "lang").filter(F.col("at") < F.col("below"))
+    sample = rows.dropDuplicates(["lang", "h"]).select("text", "lang")
+    langs = [r["lang"] for r in seen]
     number = {r: i for i, r in enumerate(langs)}
-    if total > max_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_docs / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), 1 << bits), np.int64)
-        docs_of = np.zeros(len(langs), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate([k for k, _ in held] or [np.empty(0, np.int64)]), return_inverse=True)
+            return key, np.bincount(at, np.concatenate([n for _, n in held] or [np.empty(0)]), len(key)).astype(np.int64)
+
         for batch in batches:
-            which = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
-            np.add.at(docs_of, which[which >= 0], 1)
+            which = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, doc, bucket in grams(batch.column(0).to_pylist(), bits):
-                known = which[a + doc]
-                flat = np.bincount((known << bits | bucket)[known >= 0], minlength=counts.size)
-                counts += flat.reshape(counts.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([docs_of.astype("<i8").tobytes()], pa.binary())], names=["counts", "docs"])
-
-    # The sample is bounded, so a few tasks count it, and the driver gets as many matrices.
-    found = rows.repartition(4).mapInArrow(run, "counts binary, docs binary").toLocalIterator()
-    counts, docs_of = np.zeros((len(langs), 1 << bits)), np.zeros(len(langs))
-    for r in found:
-        counts += np.frombuffer(r["counts"], "<i8").reshape(counts.shape)
-        docs_of += np.frombuffer(r["docs"], "<i8")
+                held.append(np.unique(which[a + doc] << bits | bucket, return_counts=True))
+                if len(held) > 32:
+                    held[:] = [summed()]
+        key, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array([key.astype("<i8").tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=["key", "n"])
+
+    # The sample is bounded, so a few tasks count it, and the driver gets the counts that are not zero.
+    counts = np.zeros(len(langs) << bits, np.float64)
+    for r in sample.repartition(4).mapInArrow(run, "key binary, n binary").toLocalIterator():
+        counts[np.frombuffer(r["key"], "<i8")] += np.frombuffer(r["n"], "<i8")
+    counts = counts.reshape(len(langs), 1 << bits)
+    known = np.flatnonzero(counts.any(1))
+    if not len(known):
+        return Model([], np.empty(0), np.empty((1 << bits, 0), np.float32), bits)
+    counts, docs_of = counts[known], np.array([seen[i]["n"] for i in known], float)
     weight = np.log(counts + alpha) - np.log(counts.sum(1, keepdims=True) + alpha * (1 << bits))
     prior = np.log(docs_of + 1) - np.log((docs_of + 1).sum())
-    return Model(langs, prior, np.ascontiguousarray(weight.T), bits)
+    return Model([langs[i] for i in known], prior, np.ascontiguousarray(weight.T.astype(np.float32)), bits)
 
 
 def score(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
-    """The likeliest language of each text and its posterior probability; ``und`` and zero for texts without a letter."""
+    """The likeliest language of each text and its posterior probability; ``und`` and zero for texts without a letter. The
+    log probabilities of ``LOOKUPS`` n-grams and languages at most are held at a time, however many languages there are."""
+    if not model.langs:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
     total = np.zeros((len(texts), len(model.langs)))
     letters = np.zeros(len(texts), bool)
+    step = max(1, LOOKUPS // len(model.langs))
     for a, doc, bucket in grams(texts, model.bits):
-        if len(doc):
-            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            total[a + doc[first]] += np.add.reduceat(model.weight[bucket], first)
-            letters[a + doc[first]] = True
-    if not model.langs:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for s in range(0, len(doc), step):
+            d = doc[s : s + step]
+            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            total[a + d[first]] += np.add.reduceat(model.weight[bucket[s : s + step]], first, dtype=np.float64)
+            letters[a + d[first]] = True
     total += model.prior
     best = total.argmax(1)
     sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
@@ -124,9 +173,11 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
 
     Returns ``doc_id``, ``held_out``, ``lang_pred`` (a learned language, or ``und`` for a null text or one without a letter)
     and ``score`` (posterior probability, zero for ``und``), a row for each input row. The prediction sees the text alone.
-    Ties go to the first language in order of their names; rows that repeat get the same answer; with nothing to learn from
-    all are ``und``. The log-probability matrix, ``2**bits`` rows by the learned languages, is broadcast. No shuffle of
-    documents but the bounded training sample.
+    Ids may be of any type, null or repeated; null texts are empty; rows with a null language are predicted but not learned
+    from. Very long texts are read in pieces and have the n-grams of the whole. Ties go to the first language in order of
+    their names; rows that repeat get the same answer; with nothing to learn from all are ``und``; an empty table gives no
+    rows; other columns are ignored. The log-probability matrix, ``2**bits`` rows by the learned languages (``max_docs`` at
+    most), is broadcast. No shuffle of documents but the bounded training sample.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(train(own.filter(~F.col("held_out")), text="text", lang="lang", bits=bits, max_docs=max_docs))
