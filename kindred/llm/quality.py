@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
@@ -11,48 +12,78 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialize, slices
+from kindred.llm.common import materialize, slices, unused
 
-#: Lengths of the character n-grams, and bits of their hash.
-ORDERS, BITS = (5,), 20
+#: Length of the character n-grams, and bits of their hash.
+ORDER, BITS = 5, 20
+#: Characters that are looked at in one go.
+PIECE = 1 << 18
+_SPACE = re.compile(r"\s")
 #: The two faults that labels name, each with evidence of its own.
 FAULTS = ("low", "toxic")
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the text and bucket of every n-gram of the lower-cased texts, with a space at either end."""
-    low = [f" {t.lower()} " for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
-    found = []
-    for order in ORDERS:
-        n = max(len(codes) - order + 1, 0)
-        h = np.full(n, order, np.uint32)
-        for j in range(order):
-            h = (h ^ codes[j : n + j]) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(15)
-        same = doc[:n] == doc[len(doc) - n :]
-        found.append((doc[:n][same], (h >> np.uint32(32 - BITS))[same]))
-    return np.concatenate([d for d, _ in found]), np.concatenate([h for _, h in found])
-
-
-def _pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``_grams`` in pieces of about half a million characters; a longer text is cut, and no gram spans a cut."""
-    for a, b in slices([len(t) for t in texts], 1 << 19):
-        part = texts[a:b]
-        for cut in range(0, max(map(len, part)) or 1, 1 << 22):
-            doc, bucket = _grams([t[cut : cut + (1 << 22)] for t in part])
-            yield a, doc, bucket
+def _buckets(codes: np.ndarray) -> np.ndarray:
+    """The bucket of the n-gram that starts at each place."""
+    h = np.full(len(codes) - ORDER + 1, ORDER, np.uint32)
+    for j in range(ORDER):
+        h = (h ^ codes[j : len(h) + j]) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+    return (h >> np.uint32(32 - BITS)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def present(texts: list[str], told: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of texts and the different buckets that the n-grams of each fall in, in order, some texts at a time. Texts are
+    lower-cased, with a space at either end. ``told`` marks the buckets to look at. A long text is read in pieces that share
+    ``ORDER - 1`` characters, and its buckets are made distinct over all of them."""
+    for a, b in slices([len(t) for t in texts], PIECE):
+        if b - a == 1:
+            whole, found = f" {texts[a].lower()} ", np.empty(0, np.int64)
+            for cut in range(0, max(len(whole) - ORDER + 1, 0), PIECE):
+                bucket = _buckets(_codes(whole[cut : cut + PIECE + ORDER - 1]))
+                found = np.union1d(found, bucket if told is None else bucket[told[bucket]])
+            yield np.full(len(found), a), found
+            continue
+        low = [f" {t.lower()} " for t in texts[a:b]]
+        codes = _codes("".join(low))
+        doc = np.repeat(np.arange(b - a), [len(t) for t in low])
+        if len(codes) < ORDER:
+            continue
+        bucket, first = _buckets(codes), doc[: len(doc) - ORDER + 1]
+        use = first == doc[ORDER - 1 :]
+        if told is not None:
+            use &= told[bucket]
+        pair = np.unique(first[use] << BITS | bucket[use])
+        yield a + (pair >> BITS), pair & ((1 << BITS) - 1)
 
 
 def _repeats(text: str) -> float:
     """The share of words that equal the word before."""
-    words = text.split()
-    return sum(map(eq, words, words[1:])) / len(words) if words else 0.0
+    at, n, same, last = 0, 0, 0, None
+    while at < len(text):
+        cut = _SPACE.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
+        words = text[at:end].split()
+        if words:
+            same += sum(map(eq, words, words[1:])) + (words[0] == last)
+            n, last = n + len(words), words[-1]
+        at = end
+    return same / n if n else 0.0
+
+
+class Evidence(NamedTuple):
+    """What n-grams say; the few that say anything."""
+
+    bucket: np.ndarray  # in order
+    weight: np.ndarray  # (faults, those buckets) evidence of each n-gram that is in a text
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # (faults, buckets) evidence of each n-gram that is in a text
+    weights: Evidence
     betas: np.ndarray  # of the logit that a text is clean, over `features`
 
 
@@ -67,20 +98,19 @@ def _weights(present: np.ndarray, absent: np.ndarray, z: float) -> np.ndarray:
     return np.maximum(np.log(a / b) - z * np.sqrt(1 / a + 1 / b), 0).astype(np.float32)
 
 
-def features(texts: list[str], weights: np.ndarray) -> np.ndarray:
+def features(texts: list[str], evidence: Evidence) -> np.ndarray:
     """One, then for each fault the evidence of the different n-grams that are present, their sum on a log scale and the
     most of one, and last the share of repeated words and the length, on log scales, for each text. Long texts gather weak
     evidence by chance, which their length makes up for."""
-    faults = len(weights)
+    faults = len(evidence.weight)
     out = np.zeros((len(texts), 3 + 2 * faults))
     out[:, 0] = 1
-    some = weights.any(0)
-    for a, doc, bucket in _pieces(texts):
-        told = some[bucket]
-        pair = np.unique(doc[told].astype(np.int64) << BITS | bucket[told])
-        d, k = a + (pair >> BITS), pair & ((1 << BITS) - 1)
-        for f, w in enumerate(weights):
-            out[:, 1 + f] += np.bincount(d, w[k], minlength=len(texts))
+    told = np.zeros(1 << BITS, bool)
+    told[evidence.bucket] = True
+    for d, bucket in present(texts, told):
+        k = np.searchsorted(evidence.bucket, bucket)
+        for f, w in enumerate(evidence.weight):
+            np.add.at(out[:, 1 + f], d, w[k])
             np.maximum.at(out[:, 1 + faults + f], d, w[k])
     out[:, 1 : 1 + faults] = np.log1p(out[:, 1 : 1 + faults])
     out[:, -2] = np.log1p(50 * np.array([_repeats(t) for t in texts]))
@@ -110,12 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, quality
     of the sample, those that the model keeps from all of it. None if the labels do not have both kinds.
     """
     whole = labels.filter(F.col(quality).isNotNull() & F.col(toxic).isNotNull() & F.col(doc_id).isNotNull())
-    whole = whole.groupBy(F.col(doc_id).cast("long").alias("key")).agg((F.min(quality) < 1).alias("low"), (F.max(toxic) > 0).alias("toxic"))
+    whole = whole.groupBy(F.col(doc_id).cast("string").alias("key")).agg((F.min(quality) < 1).alias("low"), (F.max(toxic) > 0).alias("toxic"))
     n = whole.count()
     if n > max_labels:
         whole = whole.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * max_labels / n))
     picked = F.broadcast(materialize(whole, "labels"))
-    own = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(picked, "key")
+    own = docs.select(F.col(doc_id).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(picked, "key")
     own = own.withColumn("print", F.xxhash64("text")).dropDuplicates(["print"])  # copies would count as many witnesses
     own = materialize(own.select("text", "low", "toxic", (F.pmod(F.xxhash64("text"), F.lit(2))).cast("int").alias("half")).repartition(4), "labelled")
 
@@ -126,9 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, quality
             texts, low, toxic, half = (c.to_pylist() for c in batch.columns)
             kind = 4 * np.array(half, np.int64) + np.array(low, np.int64) + 2 * np.array(toxic, np.int64)
             np.add.at(found[:, -1], kind, 1)
-            for a, doc, bucket in _pieces(texts):
-                pair = np.unique(doc.astype(np.int64) << BITS | bucket)
-                np.add.at(found, (kind[a + (pair >> BITS)], pair & ((1 << BITS) - 1)), 1)
+            for d, bucket in present(texts):
+                np.add.at(found, (kind[d], bucket), 1)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([found.ravel()[at].astype("<i4").tobytes()], pa.binary())], names=["at", "n"])
 
@@ -138,12 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, quality
     if not total[[0, 4], -1].sum() or not total[[1, 2, 3, 5, 6, 7], -1].sum():
         return None
 
-    def learned(rows: list[int], z: float) -> np.ndarray:
+    def learned(rows: list[int], z: float) -> Evidence:
         out = []
         for bit in (1, 2):
             bad, good = total[[r for r in rows if r & bit]].sum(0), total[[r for r in rows if not r & bit]].sum(0)
             out.append(_weights(bad[:-1], good[:-1], z))
-        return np.stack(out)
+        some = np.flatnonzero(np.any(out, axis=0))
+        return Evidence(some, np.stack([w[some] for w in out]))
 
     halves = own.sparkSession.sparkContext.broadcast([[learned(rows, z) for z in MARGINS] for rows in (list(range(4, 8)), list(range(4)))])
 
@@ -219,10 +249,11 @@ def site_priors(scored: DataFrame, host: str, path: str, logit: str) -> DataFram
 
 def _judged(scored: DataFrame, priors: DataFrame, host: str, path: str, logit: str, most: float) -> DataFrame:
     """``scored`` with the combined log odds, in place of ``logit``."""
-    p = materialize(priors.select(F.col("host").alias("__kn_host"), F.col("path").alias("__kn_path"), F.col("shift").alias("__kn_shift")), "priors")
-    joined = scored.join(p, F.col(host).eqNullSafe(F.col("__kn_host")) & F.col(path).eqNullSafe(F.col("__kn_path")), "left")
-    moved = F.least(F.greatest(F.coalesce("__kn_shift", F.lit(0.0)), F.lit(-most)), F.lit(most))
-    return joined.withColumn(logit, F.col(logit) + moved).drop("__kn_host", "__kn_path", "__kn_shift")
+    h, p, shift = unused(scored.columns, "host", "path", "shift")
+    shifts = materialize(priors.select(F.col("host").alias(h), F.col("path").alias(p), F.col("shift").alias(shift)), "priors")
+    joined = scored.join(shifts, F.col(host).eqNullSafe(F.col(h)) & F.col(path).eqNullSafe(F.col(p)), "left")
+    moved = F.least(F.greatest(F.coalesce(shift, F.lit(0.0)), F.lit(-most)), F.lit(most))
+    return joined.withColumn(logit, F.col(logit) + moved).drop(h, p, shift)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", max_labels: int = 12_000, threshold: float = 0.5, most: float = 1.0) -> DataFrame:
@@ -249,5 +280,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
     model = train(docs, labels, doc_id=doc_id, text=text, max_labels=max_labels)
     first = with_evidence(docs.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text")), model, "text", "logit").drop("text")
     priors = site_priors(first, "host", "path", "logit")
-    judged = _judged(with_evidence(docs, model, text, "__kn_logit"), priors, host, path, "__kn_logit", most)
-    return judged.filter(1 / (1 + F.exp(-F.col("__kn_logit"))) >= threshold).select(*docs.columns)
+    (logit,) = unused(docs.columns, "logit")
+    judged = _judged(with_evidence(docs, model, text, logit), priors, host, path, logit, most)
+    return judged.filter(1 / (1 + F.exp(-F.col(logit))) >= threshold).select(*docs.columns)
