@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from kindred.llm.common import drop_materialized, materialize, row_key
+from kindred.llm.common import drop_materialized, few_rows, materialize, row_key, slices, unused
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BLOCKS = 4
+#: Variants that are made in one go.
+PIECE = 1 << 17
 #: Sets of at most so many rows (of two numbers each) are broadcast for a semi-join; larger ones are joined by a shuffle.
 SMALL = 500_000
 
@@ -34,33 +37,47 @@ def _block_keys(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def _variants(line: str, matched: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _variants(line: str, matched: list[int], piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of the line's deletion variants within the quarters that ``matched`` names (numbers of block keys), and each
-    one's role: 0 for a pair of equal lengths, 1 for the longer and 2 for the shorter of a pair."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    one's role: 0 for a pair of equal lengths, 1 for the longer and 2 for the shorter of a pair. About ``piece`` at a time,
+    however long the line is."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(c)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(c * powers[:n], dtype=np.uint64)])
+
+    def prefixes() -> Iterator[tuple[int, np.ndarray]]:
+        """The polynomial hashes of what stands before each character and after the last, by stretches that share an end."""
+        so_far = np.uint64(0)
+        for s in range(0, n, piece):
+            part = c[s : s + piece].astype(np.uint64) + np.uint64(1)
+            power = np.full(len(part), _BASE, np.uint64)
+            power[0] = pow(int(_BASE), s, 1 << 64)
+            sums = np.concatenate([[so_far], part * np.cumprod(power, dtype=np.uint64)])
+            sums = np.cumsum(sums, dtype=np.uint64)
+            yield s, sums
+            so_far = sums[-1]
 
     def mixed(h: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
         h = (h ^ (np.asarray(salt, np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)
         return (h ^ (h >> np.uint64(32))).view(np.int64)
 
-    hashes, roles = [], []
-    for key in matched:
-        less, k = divmod(key, BLOCKS)
-        size = n - less
-        i = np.arange(size * k // BLOCKS, size * (k + 1) // BLOCKS + less)
-        h = sums[i] + (sums[n] - sums[i + 1]) * _INVERSE
-        hashes.append(mixed(h, 2 * i + 2 if not less else 1))
-        roles.append(np.full(len(i), less, np.int8))
+    total = np.uint64(0)
+    for _, sums in prefixes():
+        total = sums[-1]
+    for start, sums in prefixes():
+        hashes, roles = [], []
+        for key in matched:
+            less, k = divmod(key, BLOCKS)
+            size = n - less
+            i = np.arange(max(size * k // BLOCKS, start), min(size * (k + 1) // BLOCKS + less, start + len(sums) - 1))
+            h = sums[i - start] + (total - sums[i - start + 1]) * _INVERSE
+            hashes.append(mixed(h, 2 * i + 2 if not less else 1))
+            roles.append(np.full(len(i), less, np.int8))
+        yield np.concatenate(hashes), np.concatenate(roles)
     if any(key < BLOCKS for key in matched):
-        hashes.append(mixed(sums[n:], 1))
-        roles.append(np.full(1, 2, np.int8))
-    return np.concatenate(hashes), np.concatenate(roles)
+        yield mixed(np.array([total]), 1), np.full(1, 2, np.int8)
 
 
-def decide(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 16) -> tuple[DataFrame, DataFrame]:
+def decide(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1) -> tuple[DataFrame, DataFrame]:
     """The lines that stay and the near-duplicates that go: two tables of ``did``, ``rk`` (a hash of id and text) and
     ``no`` (number of the line). Of equal lines only the first is in either.
 
@@ -74,7 +91,7 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_c
     variants in that quarter. Variants meet by hash, the earliest line of each is found, and the edit distance of every
     such pair is verified. No pairs are made but one for each line and variant that matched.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("did"), row_key(doc_id, text).alias("rk"), F.col(text).alias("text"))
+    own = docs.select(F.col(doc_id).alias("did"), row_key(doc_id, text).alias("rk"), F.col(text).alias("text"))
     lines = own.select("did", "rk", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(F.col("line").rlike(r"\S"))
     n = F.char_length("line")
     place = F.struct(F.col("did").isNull().alias("none"), "did", "no", "rk")
@@ -92,28 +109,31 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_c
     asked = matched.groupBy("did", "rk").agg(F.collect_list(F.struct("no", "which")).alias("asked"))
     found = texts.alias("t").join(asked.alias("a"), F.col("t.did").eqNullSafe(F.col("a.did")) & (F.col("t.rk") == F.col("a.rk"))).select("t.did", "t.rk", "t.text", "a.asked")
 
+    kind, arrow = own.schema["did"].dataType.simpleString(), to_arrow_type(own.schema["did"].dataType)
+
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for did, rk, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = text.split("\n")
                 for x in asked:
                     for column, v in zip(out, (did, rk, x["no"], parts[x["no"]], x["which"]), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())), strict=True)], names=["did", "rk", "no", "line", "which"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (arrow, pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())), strict=True)], names=["did", "rk", "no", "line", "which"])
 
-    survivors = materialize(found.mapInArrow(pick, "did long, rk long, no int, line string, which array<int>").dropDuplicates(["did", "rk", "no"]), "survivors")
+    survivors = materialize(found.mapInArrow(pick, f"did {kind}, rk long, no int, line string, which array<int>").dropDuplicates(["did", "rk", "no"]), "survivors")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                found = [_variants(t, w) for t, w in zip(part.column("line").to_pylist(), part.column("which").to_pylist(), strict=True)]
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(h) for h, _ in found]))
-                ids = part.select(["did", "rk", "no"]).take(rows)
-                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(np.concatenate([h for h, _ in found])), pa.array(np.concatenate([r for _, r in found]))], names=["did", "rk", "no", "v", "role"])
-
-    variants = survivors.mapInArrow(emit, "did long, rk long, no int, v long, role byte")
+            lines, which = batch.column("line").to_pylist(), batch.column("which").to_pylist()
+            for a, b in slices([len(t) * (1 + len(w) // BLOCKS) for t, w in zip(lines, which, strict=True)], PIECE):
+                found = [(i, *x) for i in range(a, b) for x in _variants(lines[i], which[i])] if b - a > 1 else ((a, *x) for x in _variants(lines[a], which[a]))
+                for part in [found] if b - a > 1 else ([x] for x in found):
+                    rows = pa.array(np.repeat([i for i, _, _ in part], [len(h) for _, h, _ in part]), pa.int64())
+                    ids = batch.select(["did", "rk", "no"]).take(rows)
+                    yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(np.concatenate([h for _, h, _ in part])), pa.array(np.concatenate([r for _, _, r in part]))], names=["did", "rk", "no", "v", "role"])
+
+    variants = survivors.mapInArrow(emit, f"did {kind}, rk long, no int, v long, role byte")
     shared = materialize(variants.groupBy("v").count().filter("count > 1").select("v"), "shared")
     place = F.struct(F.col("did").isNull().alias("none"), "did", "no", "rk")
     members = materialize(_semi(variants, shared, ["v"], shared.count()).select("v", "role", place.alias("place")), "members")
@@ -129,7 +149,7 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_c
     return firsts.join(near, "place", "left_anti").select(*parts), near.select(*parts)
 
 
-def dedup_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 16) -> DataFrame:
+def dedup_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1) -> DataFrame:
     """What line dedup does to every document: ``doc_id``, ``n_lines``, ``n_equal`` (lines that equal an earlier one),
     ``n_near`` (that are an edit away from one), ``kept_lines`` (numbers of the lines that stay, blank ones not counted), a
     row for each input row. See ``decide`` for the rules. Null texts have no lines. Other columns are ignored."""
@@ -138,25 +158,26 @@ def dedup_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lists = both.groupBy("did", "rk").agg(F.array_sort(F.collect_list(F.when(~F.col("near"), F.col("no")))).alias("kept_lines"), F.count_if("near").alias("n_near"))
     parts = F.split(F.col(text), "\n")
     own = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.when(F.col(text).isNotNull(), F.size(parts)).otherwise(0).cast("long").alias("n_lines"), F.when(F.col(text).isNotNull(), F.size(F.filter(parts, lambda x: x.rlike(r"\S")))).otherwise(0).alias("full"))
-    joined = own.join(lists, (own["key"] == lists["rk"]) & own["doc_id"].cast("long").eqNullSafe(lists["did"]), "left")
+    joined = own.join(lists, (own["key"] == lists["rk"]) & own["doc_id"].eqNullSafe(lists["did"]), "left")
     n_near = F.coalesce("n_near", F.lit(0).cast("long"))
     none = F.array().cast("array<int>")
     return joined.select("doc_id", "n_lines", (F.col("full") - F.coalesce(F.size("kept_lines"), F.lit(0)) - n_near).cast("long").alias("n_equal"), n_near.alias("n_near"), F.coalesce("kept_lines", none).alias("kept_lines"))
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = 1) -> DataFrame:
     """``docs`` with the texts that line dedup leaves, and ``n_chars``, if there is such a column, set to their lengths. A
     row for each input row, with its columns and types; a text of which no line stays is empty, a null one stays null. See
     ``decide`` for the rules."""
+    key, stay = unused(docs.columns, "rk", "kept")
     kept, near = decide(docs, doc_id=doc_id, text=text, min_chars=min_chars)
-    lists = kept.groupBy("did", "rk").agg(F.collect_list("no").alias("__kn_kept"))
-    keyed = docs.withColumn("__kn_rk", row_key(doc_id, text))
-    joined = keyed.join(lists, (keyed["__kn_rk"] == lists["rk"]) & keyed[doc_id].cast("long").eqNullSafe(lists["did"]), "left").select(*(keyed[c] for c in docs.columns), "__kn_kept")
+    lists = kept.groupBy("did", "rk").agg(F.collect_list("no").alias(stay))
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    joined = keyed.join(lists, (keyed[key] == lists["rk"]) & keyed[doc_id].eqNullSafe(lists["did"]), "left").select(*(keyed[c] for c in docs.columns), lists[stay])
     at = docs.columns.index(text)
     size_at = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[str | None] = []
             for t, kept in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if t is not None:
@@ -180,7 +201,7 @@ def _full(line: str) -> bool:
     return bool(line.strip(_BLANK))
 
 
-def brute_force(rows: list[tuple[int, str | None]], min_chars: int = 16) -> list[list[int]]:
+def brute_force(rows: list[tuple[int, str | None]], min_chars: int = 1) -> list[list[int]]:
     """The numbers of the lines that stay, for each row of different ids, by comparing all lines. For tests."""
 
     def near(x: str, y: str) -> bool:
