@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.common import drop_materialized, materialize, unused
+
 _LEAST = -(1 << 63)
 
 
@@ -21,16 +23,16 @@ def shingle_hashes(words: str, k: int) -> Column:
 
 
 def sketch(hashes: str, scale: int) -> Column:
-    """The different hashes among the lowest ``1 / scale`` of all 64-bit values, in order. A document with none keeps its
-    smallest hash, so that no sketch is empty."""
+    """The different hashes among the lowest ``1 / scale`` of all 64-bit values, in order. A document with none, as one of a
+    few words may be, keeps its smallest hash, so that no sketch is empty; that hash is in no larger document's sketch."""
     h = F.col(hashes)
     low = F.filter(h, lambda x: x < F.lit(_LEAST + (1 << 64) // scale))
     return F.array_sort(F.array_distinct(F.when(F.size(low) > 0, low).otherwise(F.array(F.array_min(h)))))
 
 
-def with_sketch(df: DataFrame, text: str, out: str, *, k: int = 5, scale: int = 16) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, out: str, *, k: int = 5, scale: int = 4) -> DataFrame:
     """``df`` with a column ``out``, the sketch of ``text`` (null: empty) over its ``k``-word shingles."""
-    w, h = f"__kn_words_{out}", f"__kn_runs_{out}"
+    w, h = unused(df.columns, "words", "runs")
     stepped = df.withColumn(w, word_hashes(F.coalesce(F.col(text), F.lit("")))).withColumn(h, shingle_hashes(w, k))
     return stepped.withColumn(out, sketch(h, scale)).drop(w, h)
 
@@ -40,7 +42,7 @@ def encode(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def merge(a: Column, b: Column, scale: int = 16) -> Column:
+def merge(a: Column, b: Column, scale: int = 4) -> Column:
     """The sketch of two documents together. A smallest hash above the threshold goes once there are others below it."""
     both = F.array_union(a, b)
     low = F.filter(both, lambda x: x < F.lit(_LEAST + (1 << 64) // scale))
@@ -58,60 +60,60 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def _bucket(doc_id: str, bounds: list[int]) -> Column:
-    """How many of the ordered ``bounds`` lie below the id, in two steps of about as many comparisons as the root of their
-    number; -1 for a null id."""
-    width = max(1, round(len(bounds) ** 0.5))
-    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)] or [[]]
-    heads = F.array(*(F.lit(r[0]).cast("long") for r in rows[1:])) if len(rows) > 1 else F.array().cast("array<bigint>")
-    table = F.array(*(F.array(*(F.lit(b).cast("long") for b in r)) if r else F.array().cast("array<bigint>") for r in rows))
-    x = F.col(doc_id)
-    row = F.size(F.filter(heads, lambda b: b < x))
-    inside = F.size(F.filter(F.get(table, row), lambda b: b < x))
-    return F.when(x.isNull(), F.lit(-1)).otherwise(row * width + inside)
-
-
-def with_next(docs: DataFrame, doc_id: str, columns: list[str], n_buckets: int) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the next row by descending id (nulls last; ties by the first of ``columns``, a
-    string without nulls); after the last row comes the first.
-
-    Ids are dealt over buckets by their quantiles, so each bucket holds a stretch of ids, and the order is a window within
-    buckets. The first row of each bucket also goes, marked, to the end of the bucket before it. One shuffle of the rows;
-    the driver gets the bounds and the largest id of each bucket, as many as ``n_buckets``.
-    """
-    shares = [i / n_buckets for i in range(1, n_buckets)]
-    found = docs.agg(F.percentile_approx(doc_id, shares, 20 * n_buckets).alias("b")).first()["b"] if shares else []
-    bucketed = docs.withColumn("__kn_bucket", _bucket(doc_id, sorted(set(found or [])))).withColumn("__kn_last", F.lit(False))
-    tops = {r["__kn_bucket"]: r["top"] for r in bucketed.groupBy("__kn_bucket").agg(F.max(doc_id).alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    if not order:
-        return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
-    before = {tops[b]: a for a, b in zip([order[-1], *order[:-1]], order, strict=True)}  # first id of a bucket -> the one before it
-    known = {k: v for k, v in before.items() if k is not None}
-    to = F.element_at(F.create_map(*(F.lit(x).cast(t) for kv in known.items() for x, t in zip(kv, ("long", "int"), strict=True))), F.col(doc_id).cast("long")) if known else F.lit(None).cast("int")
-    if None in before:
-        to = F.when(F.col(doc_id).isNull(), F.lit(before[None])).otherwise(to)
-    starts = F.col(doc_id).isin(list(known)) if known else F.lit(False)
-    starts = starts | F.col(doc_id).isNull() if None in before else starts
-    firsts = docs.filter(starts).groupBy(doc_id).agg(F.min(F.struct(*columns)).alias("f")).select(doc_id, "f.*", to.alias("__kn_bucket"), F.lit(True).alias("__kn_last"))
-    stretch = Window.partitionBy("__kn_bucket").orderBy("__kn_last", F.col(doc_id).desc_nulls_last(), columns[0])
-    both = bucketed.unionByName(firsts, allowMissingColumns=True)
-    return both.withColumns({f"next_{c}": F.lead(c).over(stretch) for c in columns}).filter(~F.col("__kn_last")).drop("__kn_bucket", "__kn_last")
-
-
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, scale: int = 16) -> DataFrame:
+def _following(kinds: DataFrame, per_part: int) -> DataFrame:
+    """``kinds`` (keys ``k1`` and ``k2``, and ``id``) with the keys ``x1`` and ``x2`` of the next by descending id, nulls
+    last, then by key; after the last comes the first.
+
+    Keys are dealt over ranges of about ``per_part`` rows by id and key, so ties do not gather, and a window orders each
+    range. The first of each range follows the last of the range before it: one row for each range, in a window of their
+    own."""
+    order = [F.col("id").desc_nulls_last(), F.col("k1"), F.col("k2")]
+    ranged = kinds.repartitionByRange(max(1, -(-kinds.count() // per_part)), *order).withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    inside = Window.partitionBy("part").orderBy(*order)
+    key = F.struct("k1", "k2")
+    led = materialize(ranged.withColumns({"next": F.lead(key).over(inside), "first": F.lag("k1").over(inside).isNull()}), "led")
+    heads, over = led.filter("first").select("part", key.alias("head")), Window.orderBy("part")  # a row for each range
+    wrapped = F.coalesce(F.lead("head").over(over), F.first("head").over(over))
+    after = heads.select("part", wrapped.alias("after"))
+    out = led.join(after, "part").withColumn("next", F.coalesce("next", "after"))
+    out = materialize(out.select(*kinds.columns, F.col("next.k1").alias("x1"), F.col("next.k2").alias("x2")), "following")
+    for old in (ranged, led):
+        drop_materialized(old)
+    return out
+
+
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, scale: int = 4, per_part: int = 200_000, copies: int = 1024) -> DataFrame:
     """Fingerprints of every whole text and of its edited text: the last half of its characters (rounded down) replaced by
     the first as many, or all, of the next document by descending id; after the last comes the first.
 
     Returns ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint`` (the sketches, 16 digits a
     hash), ``near_edited`` and ``near_next`` (containment of the fingerprint and that of the edited text and of the next
-    document), a row for each input row. A null text is empty; texts without words have one sketch in common. Null ids come
-    last; rows with one id go in the order of their texts; a lone row is its own next. Other columns are ignored. Sketches
-    merge (``merge``), and the text is shuffled once.
+    document), a row for each input row. A null text is empty; texts without words have one sketch in common. Ids are of any
+    type that has an order; null ids come last; rows with one id go in the order of a hash of their texts, and of rows equal
+    in both each is followed by another, the last by the next document; a lone row is its own next. Very long texts are read
+    whole, in one expression. An empty table gives no rows. Other columns are ignored. Sketches merge (``merge``).
+
+    The order is found on keys alone (``_following``). Then texts, each once however many rows hold it, meet the keys that
+    they follow, and what an edit needs of them meets the texts before: whole texts are shuffled once, the part that is
+    put in place of a half once more. Rows that repeat are worked out in lots of ``copies``.
     """
-    n = min(4096, max(32, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    pairs = with_next(with_sketch(own, "t", "s", k=k, scale=scale), "doc_id", ["t", "s"], n)
-    edited = F.expr("concat(left(t, char_length(t) - char_length(t) div 2), left(next_t, char_length(t) div 2))")
-    done = with_sketch(pairs.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), edited.alias("e"), "s", "next_s"), "e", "es", k=k, scale=scale)
-    return done.select("doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), encode(F.col("s")).alias("fingerprint"), encode(F.col("es")).alias("edited_fingerprint"), containment(F.col("s"), F.col("es")).alias("near_edited"), containment(F.col("s"), F.col("next_s")).alias("near_next"))
+    raw = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    own = raw.withColumns({"k1": F.xxhash64("t", "id", F.col("id").isNull()), "k2": F.xxhash64(F.lit(7), F.col("id").isNull(), "id", "t")})
+    kinds = materialize(own.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.count("*").alias("n"), F.max(F.char_length("t")).alias("size")), "kinds")
+    follow = _following(kinds, per_part)
+    drop_materialized(kinds)
+    # The last of equal rows is followed by the next document, the others by one of their own.
+    lots = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / copies)), lambda i: F.struct(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.least(F.lit(copies).cast("long"), F.col("n") - 1 - i * copies).alias("times")))
+    last = F.array(F.struct("x1", "x2", F.lit(1).cast("long").alias("times")))
+    follow = follow.select("k1", "k2", "id", "size", F.inline(F.when(F.col("n") > 1, F.concat(last, lots)).otherwise(last)))
+
+    texts = own.groupBy("k1", "k2").agg(F.first("t").alias("t"))
+    ahead = follow.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "id", "size", "times", F.col("x1").alias("k1"), F.col("x2").alias("k2"))
+    nexts = with_sketch(texts.join(ahead, ["k1", "k2"]), "t", "next_s", k=k, scale=scale)
+    nexts = nexts.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), "id", "size", "times", F.expr("left(t, size div 2)").alias("head"), "next_s")
+    pairs = with_sketch(texts.join(nexts, ["k1", "k2"]), "t", "s", k=k, scale=scale)
+    edited = F.expr("concat(left(t, size - size div 2), head)")
+    done = with_sketch(pairs.select("id", F.col("size").cast("long").alias("n_chars"), edited.alias("e"), "s", "next_s", "times"), "e", "es", k=k, scale=scale)
+    done = done.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("e", 256).alias("edited_sha256"), encode(F.col("s")).alias("fingerprint"), encode(F.col("es")).alias("edited_fingerprint"), containment(F.col("s"), F.col("es")).alias("near_edited"), containment(F.col("s"), F.col("next_s")).alias("near_next"), "times")
+    return done.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times", "col")
