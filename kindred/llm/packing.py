@@ -6,16 +6,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kindred.llm.common import materialize, parts
 from kindred.llm.tokens import RANKS, VOCAB, encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -29,6 +29,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocab: str, ranks: str, doc_id: str, text: str) -> DataFrame:
     """The pieces of every document: its ids, then ``end_id``."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = to_arrow_type(own.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocab, ranks)
@@ -40,9 +42,9 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocab: str, ranks: str,
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     for column, v in zip(out, (key, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_PIECES)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -90,14 +92,12 @@ def bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _packed(frame: pd.DataFrame, capacity: int, bin_base: int) -> pd.DataFrame:
-    """``frame`` with bins and offsets by best fit; keeps an earlier assignment that is as good."""
-    lengths = frame["length"].to_numpy()
-    bins, offsets, n = best_fit_decreasing(lengths, capacity)
-    before = frame["sequence_id"].nunique() if (frame["sequence_id"] >= 0).all() else len(frame) + 1
-    if n < before:
-        frame = frame.assign(sequence_id=bin_base + bins, offset=offsets)
-    return frame
+def _packed(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Bins and offsets by best fit, and whether they are new: an earlier assignment that is as good stays."""
+    fresh, places, n = best_fit_decreasing(lengths, capacity)
+    if (bins >= 0).all() and len(np.unique(bins)) <= n:
+        return bins, offsets, False
+    return fresh, places, True
 
 
 def pack(
@@ -124,7 +124,9 @@ def pack(
 
     Returns, a row for each piece, ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and
     ``offset``. A null text is empty: one piece that holds ``end_id`` alone. Ids may be null or repeat: each row is a
-    document. Ties in length go in the order of a hash. Other columns are ignored. An empty table gives no rows.
+    document. Ids may be of any type that has an order. Very long texts are cut into pieces like all others. Ties in length go
+    in the order of a hash. Other columns are ignored. An empty table gives no rows. ``certificate`` says how close the
+    outcome is to the least that any packing needs.
     """
     vocab, ranks = vocab or public_tokenizers.path(VOCAB), ranks or public_tokenizers.path(RANKS)
     cut_up = materialize(pieces(docs, capacity, end_id, vocab, ranks, doc_id, text), "pieces")
@@ -134,27 +136,28 @@ def pack(
     for r in loose.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
     n, least = int(counts.sum()), bound(counts, capacity)
-    columns = f"{PIECES}, sequence_id long, offset long"
-    state = f"{columns}, part long, gap long"
+    columns = [*_PIECES, "sequence_id", "offset"]
+    state = ", ".join(f"{c} {t}" for c, t in [*cut_up.dtypes, *((c, "bigint") for c in ("sequence_id", "offset", "part", "gap"))])
     n_parts = parts(n, per_part)
 
     # Sequence ids of packed bins are even, 2 * (round * 2^48 + part * 2^24 + bin), so no two rounds or parts clash.
     def packer(turn: int):
-        def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            part = int(key[0])
-            frame = frame.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], ignore_index=True)
-            frame = _packed(frame, capacity, 0)
-            fresh = frame["sequence_id"].to_numpy()
-            if len(frame) and (turn == 0 or not (frame["origin"] == frame["sequence_id"]).all()):
-                fresh = 2 * ((turn << 48) + (part << 24) + fresh)
-            gap = len(np.unique(fresh)) - lower_bound(frame["length"].to_numpy(), capacity)
-            return frame.assign(sequence_id=fresh, part=part, gap=gap)[[c.split()[0] for c in state.split(", ")]]
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            part = key[0].as_py()
+            table = table.sort_by([("length", "descending"), *((c, "ascending") for c in ("ids_crc32", "doc_id", "piece"))])
+            lengths, bins, offsets = (np.asarray(table.column(c)).copy() for c in ("length", "sequence_id", "offset"))
+            bins, offsets, new = _packed(lengths, bins, offsets, capacity)
+            if new:
+                bins = 2 * ((turn << 48) + (part << 24) + bins)
+            gap = len(np.unique(bins)) - lower_bound(lengths, capacity)
+            out = [*(table.column(c) for c in _PIECES), pa.array(bins), pa.array(offsets), *(pa.array(np.full(len(bins), x, np.int64)) for x in (part, gap))]
+            return pa.Table.from_arrays(out, names=[*columns, "part", "gap"])
 
         return run
 
     blank = F.lit(-1).cast("long")
-    start = loose.withColumns({"sequence_id": blank, "offset": blank, "part": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(n_parts)), "origin": F.lit(-2).cast("long")})
-    now = materialize(start.groupBy("part").applyInPandas(packer(0), state), "packed")
+    start = loose.withColumns({"sequence_id": blank, "offset": blank, "part": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(n_parts))})
+    now = materialize(start.groupBy("part").applyInArrow(packer(0), state), "packed")
     done: list[DataFrame] = []
     turn, stay, groups = 0, 0, n_parts
     bins = now.agg(F.count_distinct("sequence_id")).first()[0]
@@ -167,12 +170,21 @@ def pack(
         going = marked.filter("goes").agg(F.count("*").alias("rows"), F.count_distinct("sequence_id").alias("bins"), F.count_distinct("part").alias("parts")).first()
         stay += bins - going["bins"]
         before, groups = groups, max(parts(going["parts"], fan_in), parts(going["rows"], fan_in * per_part))
-        swap = marked.filter("goes").drop("fill", "gap", "emptiest", "goes").withColumns({"origin": F.col("sequence_id"), "part": F.pmod(F.xxhash64("part", "sequence_id", F.lit(turn)) if groups >= going["parts"] else F.xxhash64("part", F.lit(turn)), F.lit(groups))})
-        now = materialize(swap.groupBy("part").applyInPandas(packer(turn), state), "packed")
+        swap = marked.filter("goes").drop("fill", "gap", "emptiest", "goes").withColumns({"part": F.pmod(F.xxhash64("part", "sequence_id", F.lit(turn)) if groups >= going["parts"] else F.xxhash64("part", F.lit(turn)), F.lit(groups))})
+        now = materialize(swap.groupBy("part").applyInArrow(packer(turn), state), "packed")
         bins = now.agg(F.count_distinct("sequence_id")).first()[0]
         if bins == going["bins"] and groups >= before:
             break
-    out = whole.select([c.split()[0] for c in columns.split(", ")])
+    out = whole.select(columns)
     for frame in [*done, now]:
         out = out.unionByName(frame.select(out.columns))
     return out
+
+
+def certificate(packed: DataFrame, capacity: int = 1024) -> tuple[int, int]:
+    """How many sequences ``packed`` has, and the lower bound of the dual feasible functions for its pieces; equal numbers
+    prove that no packing of these pieces has fewer. The driver gets a count for each length."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    return packed.agg(F.count_distinct("sequence_id")).first()[0], bound(counts, capacity) if counts.any() else 0
