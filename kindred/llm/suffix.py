@@ -11,13 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from kindred.llm.common import drop_materialized, materialize, row_key, slices
+from kindred.llm.common import drop_materialized, few_rows, materialize, row_key, slices, unused
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Starts of windows that are looked at in one go.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
+#: Bytes of contexts that make a shard, and windows of it that are sorted in one go.
+SHARD, SORTED = 2 << 20, 1 << 20
 #: An anchor with more different contexts is not one task's work: its windows are counted by hash instead.
 CROWD = 20_000
 
@@ -86,20 +89,37 @@ def repeats(texts: list[bytes], many: np.ndarray, window: int) -> list[tuple[int
     intervals with a common prefix of ``window`` or more, which are the nodes of the tree of common prefixes; those whose
     occurrences differ in the byte on their left, or start a context, cannot be extended and are reported with all
     occurrences. Suffixes whose whole group has one byte on the left are extended by another start and not sorted further.
+    Many windows are taken in turns, by their hash, so that equal ones have the same turn and memory stays bounded.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offset = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(texts)), many)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    at = offset[text] + place
-    key = Hashes(data)(at, at + window)
+    turns = max(1, -(-int(many.sum()) // SORTED))
+    return [x for turn in range(turns) for x in _repeats(texts, sizes, many, window, turn, turns)]
+
+
+def _keyed(texts: list[bytes], sizes: np.ndarray, many: np.ndarray, window: int, turn: int, turns: int) -> tuple[np.ndarray, ...]:
+    """Context, place, hash and byte on the left (256 and more at a context's start) of the windows whose turn it is."""
+    found = []
+    for a, b in slices(sizes.tolist(), CHUNK):
+        data, n = np.frombuffer(b"".join(texts[a:b]), np.uint8), many[a:b]
+        text = np.repeat(np.arange(b - a), n)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        at = (np.cumsum(sizes[a:b]) - sizes[a:b])[text] + place
+        key = Hashes(data)(at, at + window)
+        mine = key % np.uint64(turns) == turn if turns > 1 else np.ones(len(key), bool)
+        left = np.where(place > 0, data[np.maximum(at - 1, 0)].astype(np.int64), 256 + a + text)
+        found.append((a + text[mine], place[mine], key[mine], left[mine]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
+
+
+def _repeats(texts: list[bytes], sizes: np.ndarray, many: np.ndarray, window: int, turn: int, turns: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    text, place, key, left = _keyed(texts, sizes, many, window, turn, turns)
+    if not len(key):
+        return []
     order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    first = np.flatnonzero(new)
+    key, left = key[order], left[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.concatenate([first, [len(order)]]))
-    left = np.where(place > 0, data[np.maximum(at - 1, 0)].astype(np.int64), 256 + text)[order]
-    diverse = np.maximum.reduceat(left, first) != np.minimum.reduceat(left, first) if len(first) else np.empty(0, bool)
+    diverse = np.maximum.reduceat(left, first) != np.minimum.reduceat(left, first)
     out = []
     for s, n in zip(first[(count > 1) & diverse].tolist(), count[(count > 1) & diverse].tolist(), strict=True):
         rest = sorted((texts[text[i]][place[i] + window :], int(left[j]), int(text[i]), int(place[i])) for j, i in enumerate(order[s : s + n].tolist(), s))
@@ -133,20 +153,18 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-_PLACE = "did long, rk long"
-
-
-def _scan(docs: DataFrame, window: int, k: int) -> DataFrame:
+def _scan(docs: DataFrame, window: int, k: int, place: str) -> DataFrame:
     """The runs of windows of every document: its key, anchor and context hashes, first start and number of starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [_bytes(t.as_py()) for t in batch.column(2)]
-            for a, b in slices([len(r) for r in raw], CHUNK):
+            texts = batch.column(2).fill_null("").cast(pa.large_string())
+            offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+            every = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            for a, b in slices(np.diff(offset).tolist(), CHUNK):
                 # Short documents together: windows that span two of them are left out below.
-                data = np.frombuffer(b"".join(raw[a:b]), np.uint8)
-                sizes = np.array([len(r) for r in raw[a:b]], np.int64)
-                ends = np.cumsum(sizes)
+                data, ends = every[offset[a] : offset[b]], offset[a + 1 : b + 1] - offset[a]
+                sizes = np.diff(offset[a : b + 1])
                 for first in range(0, max(len(data) - window + 1, 0), CHUNK):
                     starts = min(CHUNK, len(data) - window + 1 - first)
                     found = _split(anchors(data, first, starts, window, k), data, ends, window)
@@ -155,7 +173,7 @@ def _scan(docs: DataFrame, window: int, k: int) -> DataFrame:
                     keys = batch.select([0, 1]).take(pa.array(a + doc))
                     yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(gram), pa.array(whole), pa.array(begin - (ends - sizes)[doc]), pa.array((last - begin + 1).astype(np.int32))], names=["did", "rk", "anchor", "context", "start", "n"])
 
-    return docs.mapInArrow(run, f"{_PLACE}, anchor long, context long, start long, n int")
+    return docs.mapInArrow(run, f"{place}, anchor long, context long, start long, n int")
 
 
 def _split(found: tuple[np.ndarray, ...], data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -198,8 +216,10 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     are dealt by anchor into shards, where suffix arrays find the maximal repeats. Anchors with over ``CROWD`` contexts are
     dealt by the hashes of their windows, which no anchor can crowd.
     """
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("did"), row_key(doc_id, text).alias("rk"), F.col(text).alias("text"))
-    runs = materialize(_scan(own, window, k), "runs")
+    own = docs.select(F.col(doc_id).alias("did"), row_key(doc_id, text).alias("rk"), F.col(text).alias("text"))
+    place = f"did {own.schema['did'].dataType.simpleString()}, rk long"
+    kind = to_arrow_type(own.schema["did"].dataType)
+    runs = materialize(_scan(own, window, k, place), "runs")
     kinds = runs.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("did", "rk", "start", "n")).alias("place"))
     kinds = materialize(kinds.select("anchor", "context", "copies", "place.*"), "kinds")
     busy = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("copies").alias("total")).filter("total > 1"), "busy")
@@ -212,12 +232,12 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     # Contexts to look into: those found once, and a specimen of each that comes up again, which needs no answer.
     wanted = shared.filter("contexts > 1").select("did", "rk", "start", "n", "anchor", "contexts", (F.col("copies") == 1).alias("asks"))
     lists = materialize(wanted.groupBy("did", "rk").agg(F.collect_list(F.struct("start", "n", "anchor", "contexts", "asks")).alias("asked")), "wanted")
-    texts = own.join(lists, ["did", "rk"])
+    texts = own.join(lists, own["did"].eqNullSafe(lists["did"]) & (own["rk"] == lists["rk"])).select(own["did"], own["rk"], "text", "asked")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in few_rows(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for did, rk, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for did, rk, text, asked in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 raw = _bytes(text)
                 for x in asked:
                     row = (did, rk, x["start"], x["n"], x["anchor"], x["asks"], raw[x["start"] : x["start"] + x["n"] + window - 1])
@@ -225,15 +245,15 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
                         row = (*row[:4], None, *row[5:])
                     for column, v in zip(out, row, strict=True):
                         column.append(v)
-                if len(out[0]) > 20_000:
+                if len(out[0]) > 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
                     out = ([], [], [], [], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     names = ["did", "rk", "start", "n", "anchor", "asks", "raw"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    types = [kind, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
     crowded = busy.filter(f"contexts > {CROWD}").limit(1).count() > 0
-    contexts = texts.select("did", "rk", "text", "asked").mapInArrow(extract, f"{_PLACE}, start long, n int, anchor long, asks boolean, raw binary")
+    contexts = texts.select("did", "rk", "text", "asked").mapInArrow(extract, f"{place}, start long, n int, anchor long, asks boolean, raw binary")
     if crowded:
         contexts = materialize(contexts, "contexts")
 
@@ -259,7 +279,7 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
             anchor = np.asarray(batch.column("anchor"))
             edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else []
             for i, j in zip(edges, [*edges[1:], len(anchor)], strict=True):
-                if held and size > (8 << 20) and held[-1].column("anchor")[-1].as_py() != anchor[i]:
+                if held and size > SHARD and held[-1].column("anchor")[-1].as_py() != anchor[i]:
                     yield spans(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(i, j - i))
@@ -267,7 +287,7 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
         if held:
             yield spans(pa.Table.from_batches(held))
 
-    span = f"{_PLACE}, s long, e long"
+    span = f"{place}, s long, e long"
     dealt = contexts.filter("anchor is not null").repartition(F.col("anchor")).sortWithinPartitions("anchor")
     inner = dealt.mapInArrow(shards, span)
     parts = whole.unionAll(inner)
@@ -287,7 +307,7 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
                     keys = part.select(["did", "rk", "asks"]).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.asarray(part.column("start"))[row] + place), pa.array(h.view(np.int64))], names=["did", "rk", "asks", "s", "h"])
 
-        every = contexts.filter("anchor is null").mapInArrow(windows, f"{_PLACE}, asks boolean, s long, h long")
+        every = contexts.filter("anchor is null").mapInArrow(windows, f"{place}, asks boolean, s long, h long")
         twice = materialize(every.groupBy("h").count().filter("count > 1").select("h"), "twice")
         parts = parts.unionAll(every.filter("asks").join(twice, "h", "left_semi").select("did", "rk", "s", (F.col("s") + window).alias("e")))
     spans = materialize(parts.groupBy("did", "rk").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
@@ -308,10 +328,11 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str, window: int, k: int, columns: list[str]) -> DataFrame:
+    key, spans = unused(docs.columns, "rk", "spans")
     found = covered(docs, doc_id=doc_id, text=text, window=window, k=k)
-    keyed = docs.withColumn("__kn_rk", row_key(doc_id, text))
-    on = (keyed["__kn_rk"] == found["rk"]) & (F.coalesce(keyed[doc_id].cast("long"), F.lit(0)) == found["did"])
-    return keyed.join(found, on, "left").select(*(keyed[c] for c in columns), F.col("spans").alias("__kn_spans"))
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    on = (keyed[key] == found["rk"]) & keyed[doc_id].eqNullSafe(found["did"])
+    return keyed.join(found, on, "left").select(*(keyed[c] for c in columns), found["spans"].alias(spans))
 
 
 def repeat_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 400, k: int = 128) -> DataFrame:
@@ -320,7 +341,7 @@ def repeat_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     null or repeat, other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for t, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw, gone = _bytes(t.as_py()), union([(x["s"], x["e"]) for x in spans or ()])
@@ -348,7 +369,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[str | None] = []
             for t, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if t is not None and spans:
