@@ -9,6 +9,8 @@ from kindred.functions import text
 from kindred.operators import blocking
 
 _PAIR = ["source1_entity_id", "candidate_entity_id"]
+#: What a per-query report holds.
+REPORT = "source1_entity_id string, true_count long, candidate_count long, recovered_count long"
 
 
 def true_pairs(truth: DataFrame) -> DataFrame:

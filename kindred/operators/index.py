@@ -95,9 +95,16 @@ def build_indexes(entities: DataFrame, path: str, *, max_name_token_df: int = 20
     save(metadata(spark, counts, chunk_size=0, threads=spark.sparkContext.defaultParallelism, enable_ngrams=enable_ngrams, max_name_token_df=max_name_token_df, max_address_token_df=max_address_token_df), "metadata")
 
 
-def save_bucketed(postings: DataFrame, table: str, buckets: int) -> DataFrame:
-    """Saves postings as a table bucketed and sorted by key, with statistics. Query records bucketed alike join it without a
-    shuffle of the index."""
-    postings.write.mode("overwrite").bucketBy(buckets, *_KEY).sortBy(*_KEY).saveAsTable(table)
+def save_bucketed(postings: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Saves postings as a table bucketed and sorted by key, with statistics, in the warehouse or below ``path``, in place of
+    what was there. Query records bucketed alike join it without a shuffle of the index."""
+    writer = postings.write.mode("overwrite").bucketBy(buckets, *_KEY).sortBy(*_KEY)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     postings.sparkSession.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
     return postings.sparkSession.table(table)
+
+
+def known_rows(spark: SparkSession, table: str) -> int:
+    """How many rows a table's statistics say it has."""
+    said = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Statistics'").first()["data_type"]
+    return int(said.split(",")[1].split()[0])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import text, udfs
 from kindred.functions.lexicon import SEPARATOR
 from kindred.operators import blocking, index
+from kindred.sources.tsv import head
 
 PAIR_COLUMNS = ["s1_entity_id", "candidate_source", "candidate_entity_id", "label", "s1_name", "s1_address", "s1_country", "candidate_name", "candidate_address", "candidate_country"]
 
@@ -22,7 +23,7 @@ def split(s1: DataFrame, order: list[str | Column], max_train: int = 200_000, ma
     out = None
     for name, most in (("train", max_train), ("valid", max_valid)):
         part = marked.filter(F.col("split") == name)
-        part = part.orderBy(*order).limit(most) if most else part
+        part = head(part, most, order)
         out = part if out is None else out.unionByName(part)
     return out
 

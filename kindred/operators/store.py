@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -28,12 +28,27 @@ class IndexStore:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def tables(self) -> list[str]:
-        """The names of all tables, in order."""
+    def sizes(self) -> dict[str, int]:
+        """The names of all tables, in order, and their bytes."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         top = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = top.getFileSystem(conf)
-        return sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
+        found = fs.listStatus(top) if fs.exists(top) else []
+        return dict(sorted((s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength()) for s in found))
+
+    def tables(self) -> list[str]:
+        """The names of all tables, in order."""
+        return list(self.sizes())
+
+    def unsorted(self) -> DataFrame:
+        """For each index, how many rows come before the one they follow by key, within a file: none, as they are written."""
+        out = None
+        for name in (t for t in self.tables() if t.endswith("_index")):
+            rows = self.table(name).select(F.struct("country_key", "value").alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+            part = rows.select((before > F.col("key")).alias("back")).agg(F.count_if("back").alias("rows_out_of_order")).select(F.lit(name).alias("name"), "rows_out_of_order")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def table_exists(self, name: str) -> bool:
         return name in self.tables()

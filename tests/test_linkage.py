@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred import cli
+from kindred.functions import udfs
 from kindred.operators import blocking, evaluate, index, misses, normalize, pairs, profile
 from kindred.operators.store import IndexStore
 from kindred.sources import tsv
@@ -103,7 +104,12 @@ def test_command_line(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(at("diagnose")).count() == 7
     cli.main(["pairs", *common, "--output", at("pairs")])
     assert spark.read.parquet(at("pairs")).filter("label = 1").count() == 3
-    cli.main(["profile", "--source", at("S2.tsv"), "--output", at("profile.json")])
+    cli.main(["profile", "--source", "S2=" + at("S2.tsv"), "--source", at("S3.tsv"), "--truth", at("truth.tsv"), "--output", at("profile")])
+    assert '"singletons": 1' in tsv.read_text(spark, at("profile/profile.json")) and "DATASET PROFILE" in tsv.read_text(spark, at("profile/profile.txt"))
+    assert spark.read.option("header", True).csv(at("profile/missingness.csv")).filter("source = 'S2'").count() == 4
+    cli.main(["check-index", "--index", at("idx")])
+    cli.main(["stats", *common, "--ngrams", "--output", at("stats")])
+    assert {r["strategy"] for r in spark.read.option("sep", "\t").option("header", True).csv(at("stats")).collect()} == {"v1", "strong", "name_and_address", "v2", "v3"}
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
 
@@ -141,8 +147,8 @@ def test_profile(spark, link, tmp_path):
     assert report["rows"] == 8 and {m["column"]: m["missing_or_empty"] for m in report["missingness"]}["business_name"] == 2
     assert report["country_distribution"][0]["count"] == 3
     assert profile.profile_truth(truth)["singletons"] == 1
-    tsv.write_json_report(report, str(tmp_path / "r.json"))
-    tsv.write_text_report(report, str(tmp_path / "r.txt"))
+    tsv.write_json_report(spark, report, str(tmp_path / "r.json"))
+    tsv.write_text_report(spark, report, str(tmp_path / "r.txt"))
     assert "DATASET PROFILE" in (tmp_path / "r.txt").read_text()
     assert profile.missingness(df.limit(0), ["country"]).first()["missing_pct"] == 0.0
 
@@ -157,11 +163,41 @@ def test_readers(spark, tmp_path):
     assert evaluate.true_pairs(tsv.read_truth(spark, str(tmp_path / "t.tsv"))).count() == 2
     df = spark.range(5).select(F.col("id").cast("string").alias("x"))
     assert [r["x"] for r in tsv.head(df, 2, ["x"]).collect()] == ["0", "1"] and tsv.head(df, 0, ["x"]).count() == 5
+    many = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
+    assert sorted(r["x"] for r in tsv.head(many, 300, ["x"], few=10).collect()) == list(range(300))
+    assert tsv.head(many, 5000, ["x"], few=10).columns == ["x"] and tsv.head(many, 5000, ["x"], few=10).count() == 1000
     tsv.write_report(df, str(tmp_path / "out"))
     tsv.write_pairs(df, str(tmp_path / "pairs"))
     assert spark.read.parquet(str(tmp_path / "pairs")).count() == 5
 
 
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kindred import scratch
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://somewhere:7077"))
+    with pytest.raises(RuntimeError):
+        scratch.shared_folder(session)
+    session.sparkContext.master = "local[8]"
+    assert scratch.shared_folder(session).startswith("file://")
+    part = scratch.materialize(spark.range(3), "three")
+    assert part.count() == 3
+    scratch.drop_materialized(part)
+
+
+# What the optional libraries add is tested only where they are installed.
+def test_transliteration():
+    pytest.importorskip("unidecode")
+    assert udfs.transliterate_text("société") == "societe"
+
+
+def test_phonetic_keys():
+    pytest.importorskip("metaphone")
+    assert udfs.phonetic_text("smith") == udfs.phonetic_text("smyth") != ""
+
+
 def test_stream(spark, link, tmp_path):
     index.build_indexes(link[2], str(tmp_path / "idx"))
     (tmp_path / "in").mkdir()

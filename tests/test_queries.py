@@ -33,6 +33,12 @@ def test_query_equals_sql(spark, name):
     assert _rows(want, columns) == _rows(got, columns)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.ORACLE_SQL])
+def test_query_without_sql_runs(spark, name):
+    catalog.QUERIES[name](spark, SF).collect()
+
+
 def test_entry_points():
     import __spark_entry__
 
