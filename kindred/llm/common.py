@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that this program has made and marked for deletion.
-_ROOTS: set[str] = set()
+from kindred.scratch import drop_materialized, materialize
+
+__all__ = ["drop_materialized", "few_rows", "materialize", "parts", "row_key", "slices", "table", "unused"]
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
@@ -34,51 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, a temporary folder that ends
-    with the program, if all of Spark runs in one process, as in tests; else an error, as executors share no local folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or _local()
-
-
-@cache
-def _local() -> str:
-    folder = tempfile.mkdtemp(prefix="kindred-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"file://{folder}"
-
-
-def _session_dir(spark: SparkSession) -> str:
-    """A folder of this program's own in the shared folder. The JVM deletes it when it ends."""
-    root = f"{scratch_dir(spark)}/kindred-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    return root
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back. Cuts the lineage, survives lost executors, and
-    forgets the partitioning, so that a later join shuffles both sides and adaptive execution can split hot keys."""
-    path = f"{_session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files behind a table that ``materialize`` returned, once no later plan reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
-
-
 def row_key(doc_id: str, text: str) -> Column:
     """64-bit key of a row's id and text. Together with the id it names a row; rows that repeat both share it, and are
     treated alike."""

@@ -84,7 +84,10 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_c
     A line is what stands between line feeds. A line goes if an earlier one, by id, then number, then ``rk``, equals it, or
     if both have ``min_chars`` characters and one edit (a character inserted, dropped or replaced) turns one into the other,
     whether or not the earlier one stays. Lines of white space only are in neither table and always stay. Null texts have
-    no lines; null ids come after all others. Rows that repeat both id and text are one document.
+    no lines; null ids come after all others, and ids may be of any type that has an order. Rows that repeat both id and
+    text are one document. Very long texts and lines are read whole, but their variants are made in pieces. Empty tables
+    have no lines; other columns are ignored. ``min_chars`` is one, so lines of a character are an edit apart; raise it to
+    leave short lines, such as list marks, to equality.
 
     Equal lines meet in an aggregation. Two different lines within an edit agree on all but a quarter: each line emits
     hashes of what stands around each quarter, and only lines whose hash comes up again emit the hashes of their deletion

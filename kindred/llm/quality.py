@@ -263,7 +263,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     Returns ``doc_id``, ``evidence`` (the text's own logit), ``score`` (probability that it is clean, with the site's prior)
     and ``keep`` (``score`` reaches ``threshold``), a row for each input row. Null texts are empty. A null host or path is a
     site of its own; labels without an id or with a null value are ignored, and of several labels of one id the worst
-    counts. Without labels of both kinds all evidence is zero and every document stays. Repeated rows get equal scores.
+    counts. Without labels of both kinds all evidence is zero and every document stays. Repeated rows get equal scores. A
+    score of just ``threshold`` is kept. Very long texts are read in pieces and have the n-grams of the whole. Ids may be of
+    any type; labels meet them as strings. An empty table gives no rows; other columns are ignored.
     The text is read once and not shuffled; sites are joined on scores alone.
     """
     model = train(docs, labels, doc_id=doc_id, text=text, max_labels=max_labels)

@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     The fingerprint is the 64-bit SimHash of the text's ``k``-word shingles; zero for a null or empty text or one without
     words. Fingerprints at ``radius`` bits or fewer link, and ``component_id`` is the smallest id that links reach, a row's
     own included. Equal fingerprints are one, however many rows share them; rows without an id link too but give no
-    component its name, so it is null where no row has an id.
+    component its name, so it is null where no row has an id. Ids may be of any type that has an order; rows may repeat;
+    very long texts are read whole; an empty table gives no rows; other columns are ignored.
 
     Different fingerprints are compared exactly, in tiles. A fingerprint's cell is the pair of population counts of its
     halves; cells whose counts differ by more than the radius are never brought together, nor are tiles within a group.
@@ -315,12 +316,14 @@ def verified_links(suspects: DataFrame, k: int, similarity: Fraction, mass: int
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id (ties: by a hash of the text);
     columns and types stay. Null and empty texts, and those without words, are alike, so one of them stays; a null id comes
-    after all others.
+    after all others; ids may be of any type that has an order. Of rows that repeat, one stays. Very long texts are read
+    whole. An empty table gives no rows.
 
     Rows are near-duplicates if the sets of their ``k``-word shingles have a Jaccard ``similarity`` or more, or if a chain
     of such pairs joins them. Fingerprints of ``bits`` bits over these sets find the rows that may have a partner: the share
     of bits that differ tells the angle between two, and the radius is that of the ``similarity`` plus six times the spread
-    of the estimate. The larger set has at most ``1 / similarity`` as many shingles, and sizes take the place of population
+    of the estimate; the first word alone may be 4.5 times its own spread beyond, so of pairs of just that similarity about
+    three in a million are not compared. The larger set has at most ``1 / similarity`` as many shingles, and sizes take the place of population
     counts when tiles are skipped, as counts of fingerprints this far apart say nothing. Within each group that such links
     join, the sets themselves are then compared (``verified_links``), and only those pairs count.
     """

@@ -316,6 +316,100 @@ def covered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     return spans
 
 
+def repeat_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 400, k: int = 128) -> DataFrame:
+    """All maximal repeats of ``window`` bytes or more with all of their occurrences: ``group_id``, ``length``, ``doc_id`` and
+    ``start`` (in bytes), a row for each occurrence.
+
+    A repeat is maximal if its occurrences do not all have the same byte on the left, nor all on the right (a text's ends
+    are unlike all bytes and each other). Every occurrence lies within one of the runs that ``covered`` finds. Their windows
+    are counted by hash and by the byte on the left; those with more than one are where maximal repeats start. What follows
+    such a start, up to the end of its run, is a suffix; equal suffixes of a start are one with a count, and a shard sorts
+    the different ones of each start and scans their common prefixes with a stack: an interval whose occurrences differ on
+    the left is a group. Its occurrences are joined back, so a group may have any number.
+
+    Null and empty texts have no repeats; rows that repeat are repeats of each other, each with its own rows in the result;
+    ids may be null and of any type; ties do not arise; an empty table gives no rows; other columns are ignored. Very long
+    texts are read whole. Only the bytes that repeat are worked on: some forty bytes are shuffled for each.
+    """
+    found = covered(docs, doc_id=doc_id, text=text, window=window, k=k)
+    own = docs.select(F.col(doc_id).alias("did"), row_key(doc_id, text).alias("rk"), F.col(text).alias("text"))
+    kind, arrow = own.schema["did"].dataType.simpleString(), to_arrow_type(own.schema["did"].dataType)
+    asked = own.join(found, own["did"].eqNullSafe(found["did"]) & (own["rk"] == found["rk"])).select(own["did"], own["rk"], "text", "spans")
+    # Rows that repeat have one key: a number tells them apart.
+    asked = materialize(asked.withColumn("rk", F.xxhash64("rk", F.monotonically_increasing_id())), "asked")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            for i in range(batch.num_rows):
+                raw = np.frombuffer(_bytes(batch.column(2)[i].as_py()), np.uint8)
+                for s, e in union([(x["s"], x["e"]) for x in batch.column(3)[i].as_py()]):
+                    for a in range(s, e - window + 1, CHUNK):
+                        at = np.arange(a, min(a + CHUNK, e - window + 1))
+                        h = Hashes(raw[a : at[-1] + window])(at - a, at - a + window)
+                        left = np.where(at > 0, raw[np.maximum(at - 1, 0)].astype(np.int16), -1).astype(np.int16)
+                        keys = batch.select([0, 1]).take(pa.array(np.full(len(at), i)))
+                        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(at), pa.array(np.full(len(at), e)), pa.array(h.view(np.int64)), pa.array(left)], names=["did", "rk", "start", "e", "h", "left"])
+
+    every = asked.mapInArrow(windows, f"did {kind}, rk long, start long, e long, h long, left short")
+    diverse = every.groupBy("h").agg(F.count("*").alias("n"), F.min("left").alias("low"), F.max("left").alias("high")).filter("n > 1 and (low < high or low = -1)")
+    begins = materialize(every.join(materialize(diverse.select("h"), "diverse"), "h", "left_semi"), "begins")
+    lists = begins.groupBy("rk").agg(F.collect_list(F.struct("start", "e", "h", "left")).alias("begins"))
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches, 16):
+            for i in range(batch.num_rows):
+                raw, rows = _bytes(batch.column(2)[i].as_py()), batch.column(3)[i].as_py()
+                for a, b in slices([x["e"] - x["start"] for x in rows], SHARD):
+                    part = rows[a:b]
+                    rest = [raw[x["start"] + window : x["e"]] for x in part]
+                    ids = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) for r in rest]
+                    columns = [pa.array([batch.column(0)[i].as_py()] * len(part), arrow), *(pa.array([x[c] for x in part], pa.int64()) for c in ("start", "h", "left")), pa.array(ids, pa.int64()), pa.array(rest, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["did", "start", "h", "left", "kind", "rest"])
+
+    shape = f"did {kind}, start long, h long, left long, kind long, rest binary"
+    follow = asked.join(lists, "rk").select("did", "rk", "text", "begins").mapInArrow(suffixes, shape)
+    places = materialize(follow.drop("rest"), "places")
+    kinds = follow.groupBy("h", "kind").agg(F.count("*").alias("n"), F.collect_set("left").alias("lefts"), F.first("rest").alias("rest"))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def scanned() -> pa.RecordBatch:
+            rows = [(held[0][0], length, number, kind) for number, (length, kinds_) in enumerate(_intervals(held, window)) for kind in kinds_]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "length", "number", "kind"])
+
+        for batch in few_rows(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield scanned()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield scanned()
+
+    nodes = kinds.select("h", "kind", "n", "lefts", "rest").repartition("h").sortWithinPartitions("h").mapInArrow(groups, "h long, length long, number long, kind long")
+    return nodes.join(places, ["h", "kind"]).select(F.xxhash64("h", "length", "number").alias("group_id"), "length", F.col("did").alias("doc_id"), "start")
+
+
+def _intervals(rows: list[tuple], window: int) -> list[tuple[int, set[int]]]:
+    """The length of each left-diverse interval of common prefixes, and its suffixes, from the different suffixes of one
+    window: window, name, how often, bytes on the left, and what follows the window."""
+    rest = sorted(((r[4], r[1], r[3]) for r in rows for _ in range(min(r[2], 2))), key=lambda x: x[:2])
+    common = [0, *(window + _common(a[0], b[0]) for a, b in zip(rest, rest[1:], strict=False)), 0]
+    out, stack = [], []
+    for i in range(1, len(rest) + 1):
+        start = i - 1
+        while stack and stack[-1][0] > common[i]:
+            length, start = stack.pop()
+            lefts = {x for r in rest[start:i] for x in r[2]}
+            if len(lefts) > 1 or -1 in lefts:
+                out.append((length, {r[1] for r in rest[start:i]}))
+        if common[i] >= window and (not stack or stack[-1][0] < common[i]):
+            stack.append((common[i], start))
+    return out
+
+
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the bytes in ``spans``, in order."""
     out: list[list[int]] = []
@@ -337,8 +431,9 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str, window: int, k: int, co
 
 def repeat_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 400, k: int = 128) -> DataFrame:
     """What ``remove_repeats`` does to every document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal runs of
-    removed bytes) and ``kept_sha256`` (of the bytes that stay), a row for each input row. Null texts are empty, ids may be
-    null or repeat, other columns are ignored."""
+    removed bytes) and ``kept_sha256`` (of the bytes that stay), a row for each input row. Null texts are empty; ids may be
+    null or repeat, and of any type; rows that repeat are repeats of each other; there are no ties, as all copies go; very
+    long texts are scanned in pieces that overlap; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
@@ -364,7 +459,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Texts are bytes of UTF-8. A window is ``window`` bytes of one text; it is repeated if the same bytes start anywhere
     else, in the same text (overlaps count) or another, and all of its copies go. Windows are judged on the texts as they
     come. Where a cut leaves part of a character, that part is dropped from the new text. Null texts stay null; rows that
-    repeat are repeats of each other.
+    repeat are repeats of each other; an empty table stays empty; very long texts are scanned in pieces that overlap.
     """
     at = docs.columns.index(text)
 

@@ -223,7 +223,8 @@ def count_with_edits(
 
     Returns ``doc_id``, ``n_chars``, ``n_tokens``, ``n_tokens_edited`` and ``n_chars_encoded_again`` (characters that the
     edits made the tree encode), a row for each input row. A null text counts as empty: zero tokens, and its edits apply to
-    the empty text. Ids may be null or repeat. Other columns are ignored, whatever their names. No shuffle.
+    the empty text. Ids may be of any type, null or repeated, and rows that repeat get equal counts. A very long text is one
+    tree. An empty table gives no rows. Other columns are ignored, whatever their names. No shuffle.
     """
     vocab, ranks = vocab or public_tokenizers.path(VOCAB), ranks or public_tokenizers.path(RANKS)
 

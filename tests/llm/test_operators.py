@@ -1,13 +1,19 @@
 """The ten operators on small tables: against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and
 other columns."""
 
+import hashlib
+import math
 import random
+import re
+import struct
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -75,6 +81,83 @@ def test_language(spark):
     assert (none["lang_pred"], none["score"]) == ("und", 0.0)
 
 
+def _buckets(text):
+    """Buckets of the 1- to 3-grams, one by one."""
+    plain = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+    for n in langid.ORDERS:
+        for i in range(len(plain) - n + 1):
+            h = n
+            for c in plain[i : i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            if plain[i : i + n] != " ":
+                yield h >> 16
+
+
+def _by_hand(rows, texts):
+    """Naive Bayes over all rows, in plain Python: the likeliest language of each text, and its probability."""
+    counts, size = defaultdict(Counter), Counter(g for _, g in rows)
+    for t, g in set(rows):
+        counts[g].update(_buckets(t))
+    out = []
+    for t in texts:
+        grams, logs = list(_buckets(t)), {}
+        for g in sorted(counts):
+            total = math.log(sum(counts[g].values()) + 0.1 * (1 << 16))
+            logs[g] = math.log((size[g] + 1) / (len(rows) + len(size))) + sum(math.log(counts[g][b] + 0.1) - total for b in grams)
+        best = max(logs, key=logs.get)
+        out.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())) if any(c.isalpha() for c in t) else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("piece", [langid.PIECE, 7])
+def test_language_by_hand(spark, monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "LOOKUPS", 50)
+    rows = [("the cat and the hat", "en"), ("the cat and the hat", "en"), ("of mice and men", "en"), ("le chat et la souris", "fr"), ("der Hund und die Straße", "de")]
+    texts = ["the men", "la  souris -- grise", "Straße", "ΣΊΣΥΦΟΣ", "the " * 30 + "souris", "12", ""]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), text="text", lang="lang")
+    pred, sure = langid.score(texts, model)
+    for p, x, (want, prob) in zip(pred, sure, _by_hand(rows, texts), strict=True):
+        assert p == want and abs(x - prob) < 1e-4
+
+
+def test_rare_languages_are_learned_or_no_answer(spark):
+    pick = random.Random(9)
+    words = {g: [f"{''.join(pick.choice(a) for _ in range(5))}" for _ in range(60)] for g, a in (("en", "abcdefghij"), ("de", "klmnopqrst"))}
+    rows = [(" ".join(pick.choice(words[g]) for _ in range(12)), g) for g in ("en", "de") for _ in range(600)] + [("uvwxyz vwxyzu", "sw")] * 2
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), text="text", lang="lang", max_docs=100)
+    assert model.langs == ["de", "en", "sw"]
+    assert langid.score([rows[0][0], rows[700][0], "uvwxyz"], model)[0] == ["en", "de", "sw"]
+    assert langid.quotas([1000, 3, 1000, 1], 104) == [0.05, 1.0, 0.05, 1.0]
+
+
+def test_many_languages(spark):
+    pick = random.Random(10)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1000)]
+    rows = [(" ".join("".join(pick.choice(letters[5 * g : 5 * g + 5]) for _ in range(4)) for _ in range(8)), f"l{g:03}") for g in range(200) for _ in range(2)]
+    docs = _docs(spark, [t for t, _ in rows] * 2, [g for _, g in rows] * 2)
+    got = langid.identify(docs, max_docs=150).collect()
+    learned = {r["lang_pred"] for r in got}
+    assert len(got) == 800 and len(learned) > 150 and all(r["lang_pred"] == rows[r["doc_id"] % 400][1] for r in got)
+    assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_long_texts_have_the_grams_of_the_whole(monkeypatch):
+    text = ("Ünïcode — ß 漢字 😀 " + LONG[:1000]) * 4200
+    assert len(text) > 1 << 22
+    flat = lambda: np.bincount(np.concatenate([b for _, _, b in langid.grams(["a b", text], 16)]), minlength=1 << 16)
+    pieces = flat()
+    monkeypatch.setattr(langid, "PIECE", 1 << 30)
+    assert (pieces == flat()).all()
+    told = np.arange(1 << quality.BITS) % 3 == 0
+    pieces = [x.tolist() for d in quality.present(["a b", text], told) for x in d]
+    monkeypatch.setattr(quality, "PIECE", 1 << 30)
+    whole = [x.tolist() for d in quality.present(["a b", text], told) for x in d]
+    assert pieces[1] + pieces[3] == whole[1]
+    assert pieces[0] + pieces[2] == whole[0]
+
+
 # 3 suffix arrays
 def _copied(seed, n_docs=12):
     pick = random.Random(seed)
@@ -112,6 +195,45 @@ def test_repeated_rows_and_removal(spark):
     assert suffix.remove_repeats(docs.limit(0), window=50, k=16).count() == 0
 
 
+def _maximal(texts, window):
+    """Length and occurrences of every maximal repeat, by looking at all stretches of all texts."""
+    raws, out = [t.encode() if t else b"" for t in texts], set()
+    places = defaultdict(list)
+    for d, r in enumerate(raws):
+        for n in range(window, len(r) + 1):
+            for i in range(len(r) - n + 1):
+                places[r[i : i + n]].append((d, i))
+    for x, at in places.items():
+        left = {raws[d][i - 1] if i else (d, "start") for d, i in at}
+        right = {raws[d][i + len(x)] if i + len(x) < len(raws[d]) else (d, "end") for d, i in at}
+        if len(at) > 1 and len(left) > 1 and len(right) > 1:
+            out.add((len(x), frozenset(at)))
+    return out
+
+
+def test_repeat_groups_are_all_maximal_repeats(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK", 64)
+    a, b = "the quick brown fox jumps", "over the lazy dog again"
+    texts = [f"{a} {b} one", f"x {a} {b} two", f"{b} {a}", f"{a} {b}", f"{a} {b}", "abab" * 8, "z" * 30, None, "", "unique stuff here", f"{a}é{b}"]
+    got = defaultdict(set)
+    rows = suffix.repeat_groups(_docs(spark, texts), window=12, k=4).collect()
+    for r in rows:
+        got[r["group_id"], r["length"]].add((r["doc_id"], r["start"]))
+    want = _maximal(texts, 12)
+    assert {(n, frozenset(at)) for (_, n), at in got.items()} == want and len(rows) == sum(len(at) for _, at in want)
+    assert suffix.repeat_groups(_docs(spark, []), window=12, k=4).count() == 0
+
+
+def test_windows_in_turns(monkeypatch):
+    texts = [t.encode() for t in _copied(3, 20)]
+    many = np.array([max(len(t) - 49, 0) for t in texts])
+    texts, many = [t for t, n in zip(texts, many, strict=True) if n], many[many > 0]
+    whole = sorted((n, sorted(p)) for n, p in suffix.repeats(texts, many, 50))
+    monkeypatch.setattr(suffix, "SORTED", 500)
+    monkeypatch.setattr(suffix, "CHUNK", 300)
+    assert whole and sorted((n, sorted(p)) for n, p in suffix.repeats(texts, many, 50)) == whole
+
+
 def test_maximal_repeats_have_all_occurrences():
     found = suffix.repeats([b"xabcdefghijq", b"yabcdefghijr", b"zabcdefghiks"], np.array([8, 8, 8]), 5)
     assert (9, [(0, 1), (1, 1), (2, 1)]) in [(n, sorted(p)) for n, p in found]
@@ -139,6 +261,53 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("piece", [quality.PIECE, 11])
+def test_features_by_hand(monkeypatch, piece):
+    monkeypatch.setattr(quality, "PIECE", piece)
+
+    def bucket(gram):
+        h = 5
+        for c in gram:
+            h = (h ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+            h ^= h >> 15
+        return h >> 12
+
+    texts = ["spam spam spam eggs", "", "a", "Spam and eggs", "spam\tSPAM\n\nspam x x", "x" * 40, _text(4, 30)]
+    words = {b: (i % 5) / 3 + 0.1 for i, b in enumerate(sorted({bucket(f" {t.lower()} "[i : i + 5]) for t in texts for i in range(len(t) - 2)})) if i % 2}
+    evidence = quality.Evidence(np.array(sorted(words)), np.array([[words[b] for b in sorted(words)], [words[b] * (b % 3) for b in sorted(words)]], np.float32))
+    for t, row in zip(texts, quality.features(texts, evidence), strict=True):
+        found = {b for i in range(len(t) - 2) if (b := bucket(f" {t.lower()} "[i : i + 5])) in words}
+        one, two = [words[b] for b in found], [words[b] * (b % 3) for b in found]
+        w = t.split()
+        want = [1, math.log1p(sum(one)), math.log1p(sum(two)), max(one, default=0), max(two, default=0), math.log1p(50 * sum(x == y for x, y in zip(w, w[1:], strict=False)) / max(len(w), 1)), math.log1p(len(t))]
+        assert np.allclose(row, want, atol=1e-5)
+
+
+def test_sites_by_hand(spark):
+    pick = random.Random(3)
+    rows = [(h, p, pick.gauss(m, 1)) for h, p, n, m in (("a", "x", 200, 2), ("a", "y", 50, -1), ("b", "x", 80, 0.5), ("c", None, 1, -3), (None, "x", 5, 1)) for _ in range(n)]
+    sums = defaultdict(lambda: [0, 0.0])
+    for h, p, l in rows:
+        for key in ((h, p), h, "all"):
+            sums[key][0] += 1
+            sums[key][1] += 1 / (1 + math.exp(-l))
+    n, total = sums.pop("all")
+    mean, hosts = total / n, {k: v for k, v in sums.items() if not isinstance(k, tuple)}
+    paths, within = {k: v for k, v in sums.items() if isinstance(k, tuple)}, mean * (1 - mean)
+
+    def worth(between):
+        return min(max(within / between if between > 0 else 1e6, 10.0), 1e6)
+
+    m_host = worth((sum(s * s / k for k, s in hosts.values()) - n * mean**2 - (len(hosts) - 1) * within) / n)
+    ph = {h: (s + m_host * mean) / (k + m_host) for h, (k, s) in hosts.items()}
+    m_path = worth((sum(k * (s / k - ph[key[0]]) ** 2 for key, (k, s) in paths.items()) - len(paths) * within) / n)
+    logit = lambda p: math.log(p / (1 - p))
+    got = {(r["host"], r["path"]): r["shift"] for r in quality.site_priors(spark.createDataFrame(rows, "host string, path string, l double"), "host", "path", "l").collect()}
+    assert set(got) == set(paths)
+    for key, (k, s) in paths.items():
+        assert abs(got[key] - (logit((s + m_path * ph[key[0]]) / (k + m_path)) - logit(mean))) < 1e-6
+
+
 def test_sites_shrink(spark):
     rows = [("big", "p", 2.0)] * 500 + [("bad", "p", -2.0)] * 100 + [("one", "p", -2.0)] + [(None, None, 2.0)]
     shift = {r["host"]: r["shift"] for r in quality.site_priors(spark.createDataFrame(rows, "host string, path string, l double"), "host", "path", "l").collect()}
@@ -307,6 +476,10 @@ def test_packing_exchanges_until_nothing_is_saved(spark):
     assert (bins["offset"] == bins.groupby("sequence_id")["length"].cumsum() - bins["length"]).all()
     assert sorted(rows["doc_id"]) == list(range(240)) and bins.groupby("sequence_id")["length"].sum().max() <= 1024
     assert rows["sequence_id"].nunique() <= packing.lower_bound(rows["length"].to_numpy(), 1024) + 4  # two rounds left 11 more than the bound
+    assert packing.certificate(spark.createDataFrame(rows)) == (rows["sequence_id"].nunique(), packing.lower_bound(rows["length"].to_numpy(), 1024))
+    large = [None, (1 << 60) + 1, (1 << 60) + 3]
+    kept = packing.pack(_docs(spark, ["a", "b", "c"], ids=large)).collect()
+    assert {r["doc_id"] for r in kept} == set(large) and packing.certificate(packing.pack(docs.limit(0))) == (0, 0)
 
 
 def test_bounds_hold():
@@ -335,8 +508,8 @@ def test_urls(spark):
         (16, "x://h?en/", "", None, "allow"),
     ]
     df = spark.createDataFrame([(i, u, h, "e") for i, u, h, _, _ in rows], "page_id long, url string, html string, host string")
-    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in urls.judge(df, queries.URL_RULES).collect() if r["page_id"] is not None)
-    assert got == sorted((i, r, v) for i, _, _, r, v in rows) or {g[0]: g[1:] for g in got} == {i: (r, v) for i, _, _, r, v in rows}
+    got = [(r["page_id"], r["rule"], r["verdict"]) for r in urls.judge(df, queries.URL_RULES).collect()]
+    assert Counter(got) == Counter((i, r, v) for i, _, _, r, v in rows)
     assert urls.judge(df.limit(0), queries.URL_RULES).count() == 0
     more = spark.createDataFrame([("http://notexample.com", "http://a.com/en/5")], "from_url string, to_url string")
     assert {r["page_id"]: r["verdict"] for r in urls.judge(df, queries.URL_RULES, redirects=more).collect()}[14] == "block"
@@ -350,26 +523,59 @@ def test_urls(spark):
 
 
 # 8 fingerprints
-def test_sketches(spark):
-    texts = [*ODD, _text(20, 900), _text(21, 700)]
-    ids = [*range(len(texts) - 2), None, 3]
-    got = sketch.fingerprints(_docs(spark, texts, ids=ids)).collect()
-    order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, -(ids[i] or 0), texts[i] or ""))
-    import hashlib
+def _xx(value, seed):
+    """Spark's xxhash64 of one value, chained by the seed."""
+    data = value.encode() if isinstance(value, str) else struct.pack("<i", value) if isinstance(value, bool) else struct.pack("<q", value)
+    return xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1)
+
+
+def _chained(values):
+    h = 42
+    for v in values:
+        h = h if v is None else _xx(v, h)
+    return h
+
+
+def _signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
 
+def _sketch(text, k=5, scale=4):
+    words = [_signed(_xx(w, 42)) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    runs = {_signed(_chained(words[i : i + k])) for i in range(len(words) - k + 1)} or {_signed(_chained(words))}
+    low = {h for h in runs if h < -(1 << 63) + (1 << 64) // scale}
+    return sorted(low or {min(runs)})
+
+
+@pytest.mark.parametrize("per_part", [200_000, 3])
+def test_sketches(spark, per_part):
+    texts = [*ODD, _text(20, 900), _text(21, 700), "twice here", "twice here", "twice here", "one two three four five six seven"]
+    ids = [*range(len(texts) - 6), None, 3, 5, 5, 5, None]
+    got = sketch.fingerprints(_docs(spark, texts, ids=ids), per_part=per_part, copies=1).collect()
+    place = lambda i: (ids[i] is None, -(ids[i] or 0), _signed(_chained([texts[i] or "", ids[i], ids[i] is None])))
+    order = sorted(range(len(texts)), key=place)
     want = []
     for a, b in zip(order, [*order[1:], order[0]], strict=True):
         t, n = texts[a] or "", texts[b] or ""
         h = len(t) // 2
-        want.append((ids[a], len(t), hashlib.sha256((t[: len(t) - h] + n[:h]).encode()).hexdigest()))
-    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
-    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=key) == sorted(want, key=key)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and r["fingerprint"] for r in got)
+        e = t[: len(t) - h] + n[:h]
+        x, y, z = (set(_sketch(v)) for v in (t, e, n))
+        join = lambda v: "".join(f"{u & (1 << 64) - 1:016x}" for u in _sketch(v))
+        want.append((ids[a], len(t), hashlib.sha256(e.encode()).hexdigest(), join(t), join(e), len(x & y) / min(len(x), len(y)), len(x & z) / min(len(x), len(z))))
+    assert Counter(map(tuple, got)) == Counter(want)
     assert sketch.fingerprints(_docs(spark, [])).count() == 0
     lone = sketch.fingerprints(_docs(spark, ["only one"])).first()
     assert lone["near_next"] == 1.0
 
 
+def test_short_texts_are_found_in_long_ones(spark):
+    held = [" ".join(_unlike(90 + i, 20)) for i in range(40)]
+    long = " ".join([*_unlike(80, 3000), *held])
+    rows = sketch.with_sketch(_docs(spark, [*held, long]), "text", "s").orderBy("doc_id").collect()
+    share = [len(set(r["s"]) & set(rows[-1]["s"])) / len(r["s"]) for r in rows[:-1]]
+    assert sum(x == 1 for x in share) >= 38  # but for texts without a hash under the threshold
+
+
 def test_containment_and_merge(spark):
     small, big = _unlike(30, 400), _unlike(31, 6000)
     docs = _docs(spark, [" ".join(small), " ".join(big + small), " ".join(big)])
@@ -386,9 +592,11 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = _docs(spark, texts)
     want = decontam.brute_force(texts, items)
-    for size in (8 << 20, 60):  # in one block, and in several
-        got = decontam.hits(docs, bench, block_bytes=size, shard_chars=500).orderBy("doc_id").collect()
+    for size, at_once in ((8 << 20, 8), (60, 50), (60, 2)):  # in one block, in several of one turn, and in many turns
+        got = decontam.hits(docs, bench, block_bytes=size, at_once=at_once, shard_chars=500).orderBy("doc_id").collect()
         assert [tuple(r)[1:] for r in got] == want
+    twice = decontam.hits(docs.unionAll(docs), bench, block_bytes=60, at_once=2).collect()
+    assert Counter(tuple(r)[1:] for r in twice) == Counter(w for w in want for _ in range(2))
     kept = decontam.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, w in enumerate(want) if not w[-1]}
     assert not any(r["contaminated"] for r in decontam.hits(docs, bench.limit(0)).collect())
@@ -398,8 +606,11 @@ def test_decontamination(spark):
 def test_longest_matches(spark):
     item = _unlike(60, 40)
     text = " ".join(["aa", "bb", *item[5:35], "cc", *item[:14]])
-    got = decontam.longest_matches(_docs(spark, [text]), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
-    assert sorted((r["item_id"], r["doc_word"], r["item_word"], r["n_words"]) for r in got) == [("9", 2, 5, 30), ("9", 33, 0, 14)]
+    bench = spark.createDataFrame([(9, " ".join(item)), (10, " ".join(_unlike(61, 40))), (11, None)], "item_id long, text string")
+    for size in (1 << 20, 100):
+        got = decontam.longest_matches(_docs(spark, [text, None, ""]), bench, block_bytes=size, at_once=1).collect()
+        assert sorted((r["item_id"], r["doc_word"], r["item_word"], r["n_words"]) for r in got) == [("9", 2, 5, 30), ("9", 33, 0, 14)]
+    assert decontam.longest_matches(_docs(spark, []), bench).count() == 0
 
 
 # 10 line dedup
@@ -428,3 +639,53 @@ def test_lines_of_repeated_rows(spark):
     docs = _docs(spark, ["one line here\ntwo", "one line here\ntwo", "two\nthree", "two"], ids=[1, 1, None, 2])
     got = sorted((r["doc_id"] or 99, r["text"]) for r in lines.dedup_lines(docs).collect())
     assert got == [(1, "one line here\ntwo"), (1, "one line here\ntwo"), (2, ""), (99, "three")]
+
+
+def test_many_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PIECE", 64)
+    line = "".join(random.Random(1).choice("abcdefgh") for _ in range(1000))
+    texts = ["\n".join(line[:i] + "X" + line[i + 1 :] for i in range(j, 1000, 100)) for j in range(30)] + [line, "é", "e", "éa", "xyzzy", "a" * 999, "a" * 1000]
+    got = lines.dedup_report(_docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["kept_lines"] for r in got] == lines.brute_force(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("piece", [5, 1 << 17])
+def test_variants_come_in_pieces(piece):
+    line, keys = "abcdéfghijk" * 4, list(range(8))
+    found = list(lines._variants(line, keys, piece))
+    whole = list(lines._variants(line, keys, 1 << 20))
+    flat = lambda parts: Counter((int(h), int(r)) for hs, rs in parts for h, r in zip(hs, rs, strict=True))
+    assert flat(found) == flat(whole) and all(len(h) <= 8 * piece for h, _ in found)
+
+
+# What all have in common.
+def _clash(docs):
+    """``docs`` with columns named like those that operators add."""
+    names = ["rk", "did", "kept", "spans", "own", "nth", "logit", "host", "path", "shift", "words", "runs"]
+    for n in names:
+        docs = docs.withColumn(f"__kn_{n}", F.lit(n)).withColumnRenamed(n, f"{n}x")
+    return docs
+
+
+def test_clashing_names(spark):
+    text = " ".join(_unlike(15, 60))
+    docs = _clash(_docs(spark, [text, text, None, "one\nones\ntwo", ""]))
+    labels = spark.createDataFrame([(0, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    for kept, n in ((lines.dedup_lines(docs), 5), (simhash.drop_near_duplicates(docs), 3), (suffix.remove_repeats(docs, window=50, k=16), 5), (quality.keep_good(docs, labels), None), (decontam.remove_contaminated(docs, bench), 5)):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert (n is None or len(rows) == n) and all(r["__kn_rk"] == "rk" for r in rows)
+
+
+def test_ids_may_be_strings(spark):
+    texts = [_text(2, 60), _text(2, 60), "short", None, "shorts"]
+    docs = _docs(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    ids = {f"d{i}" for i in range(5)}
+    labels = spark.createDataFrame([("d0", 1, 0), ("d2", 0, 0)], "doc_id string, quality int, toxic int")
+    bench = spark.createDataFrame([(1, _text(2, 60))], "item_id long, text string")
+    for found in (tokens.count_with_edits(docs), langid.identify(docs), suffix.repeat_report(docs, window=50, k=16), quality.classify(docs, labels), simhash.near_duplicates(docs), packing.pack(docs), sketch.fingerprints(docs), decontam.hits(docs, bench), lines.dedup_report(docs)):
+        assert {r["doc_id"] for r in found.collect()} == ids
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).filter("doc_id < 'd2'").collect()} == {"d0"}
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == {"d0", "d2", "d3", "d4"}
+    assert tokens.count_with_edits(docs.limit(0)).count() == simhash.drop_near_duplicates(docs.limit(0)).count() == lines.dedup_report(docs.limit(0)).count() == 0
