@@ -77,6 +77,19 @@ def _variants(line: str, matched: list[int], piece: int = PIECE) -> Iterator[tup
         yield mixed(np.array([total]), 1), np.full(1, 2, np.int8)
 
 
+def an_edit_apart(x: str, y: str) -> bool:
+    """Are the lines equal, or does one edit turn one into the other? After their common prefix and the edit, nothing may
+    differ; the prefix is found by halving, so long lines take little more than their length."""
+    x, y = sorted((x, y), key=len)
+    if len(y) - len(x) > 1:
+        return False
+    low, high = 0, len(x)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+    return x[low + (len(x) == len(y)) :] == y[low + 1 :]
+
+
 def decide(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1) -> tuple[DataFrame, DataFrame]:
     """The lines that stay and the near-duplicates that go: two tables of ``did``, ``rk`` (a hash of id and text) and
     ``no`` (number of the line). Of equal lines only the first is in either.
@@ -145,7 +158,14 @@ def decide(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_c
     pairs = members.join(least, (members["v"] == least["v"]) & (members["role"] == least["of"])).filter("partner < place").select("place", "partner").distinct()
     lines_of = survivors.select(place.alias("p"), "line")
     checked = pairs.join(lines_of.select(F.col("p").alias("place"), F.col("line").alias("x")), "place").join(lines_of.select(F.col("p").alias("partner"), F.col("line").alias("y")), "partner")
-    near = materialize(checked.filter(F.levenshtein("x", "y", 1).between(0, 1)).select("place").distinct(), "near")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            same = [an_edit_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["place"]).filter(pa.array(same, pa.bool_()))
+
+    checked = checked.select("place", "x", "y")
+    near = materialize(checked.mapInArrow(verified, checked.select("place").schema).distinct(), "near")
     for old in (again, matched, rows, shared, members, least, survivors):
         drop_materialized(old)
     parts = ["place.did", "place.rk", "place.no"]
