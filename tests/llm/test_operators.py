@@ -54,17 +54,22 @@ def test_counts_equal_full_encoding(spark):
 def test_tree_under_random_edits():
     encode = tokens.encoder(public_tokenizers.path(tokens.VOCAB), public_tokenizers.path(tokens.RANKS))
     pick = random.Random(4)
-    for start in ["", " ", _text(3, 400), "a  b\n\n c" * 50]:
+    chinese = "".join(pick.choice("汉字漢語中文，。！、言葉かなカナ한글") for _ in range(900))
+    dense = "".join(pick.choice(["don't", "x's", "12", "3.5", "é,", "<|endoftext|>", "|>", "<|", "ß", "\u0301", "_", "'", "'ll9", "\t", "…", "\u00a0", "\u3000 ", "\x1c ", "\x85\t"]) for _ in range(400))
+    for start in ["", " ", _text(3, 400), "a  b\n\n c" * 50, chinese, dense]:
         tree, now = tokens.CountTree(start, encode.count, 32), start
         for _ in range(60):
             a = pick.randrange(len(now) + 1)
-            edit = (a, a + pick.choice([0, 1, 5, 90]), pick.choice(["", " ", "\n", "x", " new words ", _text(a, 40)]))
+            edit = (a, a + pick.choice([0, 1, 5, 90]), pick.choice(["", " ", "\n", "x", "'", "7", "|>", "<|", "字", " new words ", _text(a, 40)]))
             tree.replace(*edit)
             now = tokens.edited(now, [edit])
             assert (tree.text, tree.n_tokens, tree.n_chars) == (now, len(encode.whole(now)) // 4, len(now))
     tree = tokens.CountTree(LONG, encode.count)
     tree.replace(1000, 1010, "edit")
     assert tree.encoded < 2000  # of 130 000 characters
+    tree = tokens.CountTree(chinese * 20, encode.count)
+    tree.replace(9000, 9010, "，")
+    assert tree.encoded < 2000  # of 18 000 characters without a space
 
 
 # 2 language identification

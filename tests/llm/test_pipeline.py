@@ -48,3 +48,19 @@ def test_run(spark, folder):
     assert rows.groupby("sequence_id")["length"].sum().max() <= 1024
     assert len(rows) > 40
     assert corpus_pipeline.ORACLE_SQL is None and os.path.isdir(folder)
+
+
+def test_stages_on_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.withColumn("doc_id", docs["doc_id"] + 7).withColumn("__kn_rk", docs["lang"])
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, odd.limit(0), folder)
+        assert empty.count() == 0 and (i == 4 or empty.columns == odd.columns)
+
+
+def test_without_labels_and_benchmark_all_pass(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.benchmark_decontamination):
+        assert stage(spark, docs, str(tmp_path / "none")).count() == docs.count()
