@@ -359,15 +359,15 @@ _linked(
 
 
 # The store of a built index.
-def _store(link: Linkage) -> IndexStore:
+def _store(link: Linkage, times: int = 1) -> IndexStore:
     path = fresh(link.spark, "index")
-    for _ in range(2):  # the second replaces the first
+    for _ in range(times):  # each replaces the one before
         index.build_indexes(link.targets, path, enable_ngrams=True)
     return IndexStore(link.spark, path)
 
 
 _TABLES = sorted(["entities", "metadata", *(f"{b}_index" for b in blocking.BLOCKS), *(f"{b}_frequency" for b in blocking.STRONG)])
-_linked("store_tables", lambda link: link.spark.createDataFrame([(n, s > 0) for n, s in _store(link).sizes().items()], "name string, has_bytes boolean"), "SELECT unnest([" + ", ".join(f"'{t}'" for t in _TABLES) + "]) AS name, true AS has_bytes", "customers")
+_linked("store_tables", lambda link: link.spark.createDataFrame([(n, s > 0) for n, s in _store(link, 2).sizes().items()], "name string, has_bytes boolean"), "SELECT unnest([" + ", ".join(f"'{t}'" for t in _TABLES) + "]) AS name, true AS has_bytes", "customers")
 _linked("store_entities", lambda link: _store(link).table("entities").select("source", "entity_id", "name_core_compact", "postal_candidates"), "SELECT source, entity_id, name_core_compact, array_to_string(list_sort(list_distinct(postals)), '|') AS postal_candidates FROM t", "customers")
 _linked(
     "store_metadata",
