@@ -19,6 +19,8 @@ STRONG = BLOCKS[:5]
 CAPS = {"exact_name": 5000, "compact_name": 5000, "core_name": 3000, "exact_address": 3000, "postal": 5000}
 _QUERY = {**index.EXACT, **index.TOKENS, "postal": "postal_candidates", "name_ngram": "name_compact"}
 _PAIR = ["source1_entity_id", "candidate_entity_id"]
+#: Tasks that a query's candidates are dealt over.
+SLOTS = 8
 
 
 def _asked(s1: DataFrame, block: str) -> DataFrame:
@@ -43,23 +45,40 @@ def block_pairs(s1: DataFrame, postings: DataFrame, block: str) -> DataFrame:
     return block_rows(s1, postings, block).select(*_PAIR).distinct()
 
 
+def _lists(s1: DataFrame, postings: DataFrame, block: str, max_df: int | None) -> DataFrame:
+    """``source1_entity_id``, ``slot`` and ``ids``: the candidates of one block by a hash of theirs. Keys of words and n-grams
+    are capped where their index is built, so their candidates come as lists; other keys may have any number of rows, and
+    their candidates come one by one."""
+    slot = F.pmod(F.xxhash64("entity_id"), F.lit(SLOTS)).cast("int").alias("slot")
+    found = index.capped(postings, max_df) if max_df is not None else postings
+    if block in index.TOKENS or block == "name_ngram":
+        found = found.groupBy("country_key", "value", slot).agg(F.collect_list("entity_id").alias("ids"))
+    else:
+        found = found.select("country_key", "value", slot, F.array("entity_id").alias("ids"))
+    return _asked(s1, block).join(found, ["country_key", "value"]).select("source1_entity_id", "slot", "ids")
+
+
 def evidence(s1: DataFrame, postings: dict[str, DataFrame], blocks: list[str] | None = None, caps: dict[str, int] | None = None) -> DataFrame:
     """A row for each pair that a block finds: ``mask`` (a bit for each block in the order of ``BLOCKS``), ``first_block``,
     ``name_overlap`` and ``address_overlap`` (shared rare words).
 
-    Postings of words are distinct and so are a record's words, so rows count words without a distinct aggregate."""
+    Postings of words are distinct and so are a record's words, so rows count words without a distinct aggregate. What is
+    shuffled to a query are lists of candidates; they are taken apart and counted by pair where they arrive, so the many rows
+    of a pair never travel. A query's candidates are dealt over ``SLOTS`` tasks, as some find a large part of all targets."""
     rows = None
     for rank, block in enumerate(BLOCKS):
         if block in postings and (blocks is None or block in blocks):
-            part = block_rows(s1, postings[block], block, (caps or {}).get(block)).select(*_PAIR, F.lit(rank).alias("rank"))
+            part = _lists(s1, postings[block], block, (caps or {}).get(block)).withColumn("rank", F.lit(rank))
             rows = part if rows is None else rows.unionByName(part)
     name, address = BLOCKS.index("rare_name_token"), BLOCKS.index("rare_address_token")
-    return rows.groupBy(*_PAIR).agg(
+    dealt = rows.repartition("source1_entity_id", "slot").select("source1_entity_id", "slot", "rank", F.explode("ids").alias("candidate_entity_id"))
+    found = dealt.groupBy(*_PAIR, "slot").agg(
         F.bit_or(F.expr("shiftleft(1, rank)")).alias("mask"),
         F.min("rank").alias("first_block"),
         F.count_if(F.col("rank") == name).alias("name_overlap"),
         F.count_if(F.col("rank") == address).alias("address_overlap"),
     )
+    return found.drop("slot")
 
 
 def has(block: str) -> Column:
