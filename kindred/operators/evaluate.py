@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import text
@@ -66,37 +66,46 @@ def block_diagnostics(found: DataFrame, truth_pairs: DataFrame, n_true: int | No
     """For each block of V1, in order: pairs, queries with candidates, recovered pairs and recall, alone and of the union
     with the blocks before it.
 
-    All come from the evidence table in one pass: a pair counts for the blocks in its mask, and for the unions from its
-    first block on."""
+    All come from the evidence table in one pass, counted by query first: a pair counts for the blocks in its mask, and for
+    the unions from its first block on."""
     names = blocking.BLOCKS[:7]
     own = flagged(found, truth_pairs)
-    ranks = F.array(*(F.when(blocking.has(b), i) for i, b in enumerate(names)))
-    rows = own.select("source1_entity_id", "is_true", "first_block", F.explode(F.filter(ranks, lambda x: x.isNotNull())).alias("rank"))
-    # Per query first, so that queries with candidates are counted without a distinct over pairs.
-    each = rows.groupBy("rank", "source1_entity_id").agg(F.count("*").alias("n"), F.count_if("is_true").alias("r"), F.count_if(F.col("rank") == F.col("first_block")).alias("fn"), F.count_if((F.col("rank") == F.col("first_block")) & F.col("is_true")).alias("fr"))
-    first = own.groupBy("source1_entity_id").agg(F.min("first_block").alias("rank")).groupBy("rank").agg(F.count("*").alias("fs"))
-    sums = each.groupBy("rank").agg(F.sum("n").alias("n"), F.count("*").alias("s"), F.sum("r").alias("r"), F.sum("fn").alias("fn"), F.sum("fr").alias("fr"))
-    spine = found.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("rank"), F.element_at(F.array(*(F.lit(b) for b in names)), (F.col("id") + 1).cast("int")).alias("block"))
+    true, first, zero = F.col("is_true"), F.col("first_block"), F.lit(0).cast("long")
+    counts = [c for i, b in enumerate(names) for c in (F.count_if(blocking.has(b)).alias(f"n{i}"), F.count_if(blocking.has(b) & true).alias(f"r{i}"), F.count_if(first == i).alias(f"fn{i}"), F.count_if((first == i) & true).alias(f"fr{i}"))]
+    each = own.groupBy("source1_entity_id").agg(*counts, F.min("first_block").alias("first"))
+    sums = each.agg(*(c for i in range(len(names)) for c in (F.sum(f"n{i}").alias(f"n{i}"), F.count_if(F.col(f"n{i}") > 0).alias(f"s{i}"), F.sum(f"r{i}").alias(f"r{i}"), F.sum(f"fn{i}").alias(f"fn{i}"), F.count_if(F.col("first") == i).alias(f"fs{i}"), F.sum(f"fr{i}").alias(f"fr{i}"))))
     total = truth_pairs.agg(F.count("*").alias("total")) if n_true is None else found.sparkSession.range(1).select(F.lit(n_true).alias("total"))
-    so_far = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # seven rows
-    zero = F.lit(0).cast("long")
-    wide = spine.join(sums, "rank", "left").join(first, "rank", "left").join(F.broadcast(total))
-    wide = wide.select("rank", "block", "total", *(F.coalesce(c, zero).alias(c) for c in ("n", "s", "r")), *(F.sum(F.coalesce(c, zero)).over(so_far).alias(c) for c in ("fn", "fs", "fr")))
-    return wide.select(
-        (F.col("rank") + 1).alias("block_order"), "block",
-        F.col("n").alias("candidate_pairs"), F.col("s").alias("s1_with_candidates"), F.col("r").alias("individual_recovered_true_pairs"), text.safe_ratio(F.col("r"), F.col("total")).alias("individual_recall"),
-        F.col("fn").alias("cumulative_candidate_pairs"), F.col("fs").alias("cumulative_s1_with_candidates"), F.col("fr").alias("cumulative_recovered_true_pairs"),
-        text.safe_ratio(F.col("fr"), F.col("total")).alias("cumulative_recall"),
-    )
+
+    def so_far(name: str, i: int) -> Column:
+        return sum((F.coalesce(f"{name}{j}", zero) for j in range(i + 1)), zero)
+
+    rows = [
+        F.struct(
+            F.lit(i + 1).alias("block_order"), F.lit(b).alias("block"),
+            F.coalesce(f"n{i}", zero).alias("candidate_pairs"), F.coalesce(f"s{i}", zero).alias("s1_with_candidates"), F.coalesce(f"r{i}", zero).alias("individual_recovered_true_pairs"),
+            text.safe_ratio(F.coalesce(f"r{i}", zero), F.col("total")).alias("individual_recall"),
+            so_far("fn", i).alias("cumulative_candidate_pairs"), so_far("fs", i).alias("cumulative_s1_with_candidates"), so_far("fr", i).alias("cumulative_recovered_true_pairs"),
+            text.safe_ratio(so_far("fr", i), F.col("total")).alias("cumulative_recall"),
+        )
+        for i, b in enumerate(names)
+    ]
+    return sums.join(F.broadcast(total)).select(F.inline(F.array(*rows)))
 
 
 def strategy_stats(found: DataFrame, truth_pairs: DataFrame, s1_ids: DataFrame) -> DataFrame:
     """Volume and recall of the three strategies, and of their parts: the strong blocks and the name-and-address rule."""
     rules = {"v1": blocking.v1(), "strong": blocking.is_strong(), "name_and_address": (F.col("name_overlap") >= 1) & (F.col("address_overlap") >= 1), "v2": blocking.v2(), "v3": blocking.v3()}
-    own = flagged(found, truth_pairs).select("source1_entity_id", "is_true", F.explode(F.filter(F.array(*(F.when(rule, name) for name, rule in rules.items())), lambda x: x.isNotNull())).alias("strategy"))
-    each = own.groupBy("strategy", "source1_entity_id").agg(F.count("*").alias("n"), F.count_if("is_true").alias("r"))
+    own = flagged(found, truth_pairs)
+    each = own.groupBy("source1_entity_id").agg(*(c for name, rule in rules.items() for c in (F.count_if(rule).alias(f"{name}_n"), F.count_if(rule & F.col("is_true")).alias(f"{name}_r"))))
     true = truth_pairs.groupBy("source1_entity_id").agg(F.count("*").alias("t"))
-    full = each.join(true, "source1_entity_id", "left").groupBy("strategy").agg(F.sum("n").alias("candidate_pairs"), F.count("*").alias("s1_with_candidates"), F.sum("r").alias("recovered_true_pairs"), F.count_if(F.col("r") == F.col("t")).alias("fully_recovered_s1"))
+    sums = each.join(true, "source1_entity_id", "left").agg(*(c for name in rules for c in (F.sum(f"{name}_n").alias(f"{name}_n"), F.count_if(F.col(f"{name}_n") > 0).alias(f"{name}_s"), F.sum(f"{name}_r").alias(f"{name}_r"), F.count_if(F.col(f"{name}_r") == F.col("t")).alias(f"{name}_f"))))
     total = truth_pairs.agg(F.count("*").alias("total"))
     size = s1_ids.agg(F.count("*").alias("queries"))
-    return full.join(F.broadcast(total)).join(F.broadcast(size)).select("strategy", "candidate_pairs", "s1_with_candidates", "recovered_true_pairs", "fully_recovered_s1", text.safe_ratio(F.col("recovered_true_pairs"), F.col("total")).alias("recall"), text.safe_ratio(F.col("candidate_pairs"), F.col("queries")).alias("candidates_per_s1"))
+    rows = [
+        F.struct(
+            F.lit(name).alias("strategy"), F.col(f"{name}_n").alias("candidate_pairs"), F.col(f"{name}_s").alias("s1_with_candidates"), F.col(f"{name}_r").alias("recovered_true_pairs"), F.col(f"{name}_f").alias("fully_recovered_s1"),
+            text.safe_ratio(F.col(f"{name}_r"), F.col("total")).alias("recall"), text.safe_ratio(F.col(f"{name}_n"), F.col("queries")).alias("candidates_per_s1"),
+        )
+        for name in rules
+    ]
+    return sums.join(F.broadcast(total)).join(F.broadcast(size)).select(F.inline(F.array(*rows))).filter("candidate_pairs > 0")
