@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text, udfs
 
-_FIELDS = ["country_key", "name_nfkc", "name_compact", "name_core_compact", "name_tokens", "address_nfkc", "address_informative_tokens", "address_numbers", "postal_candidates"]
+_FIELDS = ["country_key", "name_nfkc", "name_compact", "name_core_compact", "address_nfkc"]
+#: Joined lists, and what joins them.
+_LISTS = {"name_tokens": " ", "address_informative_tokens": " ", "address_numbers": r"\|", "postal_candidates": r"\|"}
 
 
 def pair_evidence(truth_pairs: DataFrame, s1: DataFrame, targets: DataFrame, postings: dict[str, DataFrame]) -> DataFrame:
@@ -15,21 +17,26 @@ def pair_evidence(truth_pairs: DataFrame, s1: DataFrame, targets: DataFrame, pos
     the indexed words and shared numbers.
 
     Exact forms and postal codes are compared without the country; a word is indexed if it is a key of the rare-word index in
-    the query's country. Keys are looked up by a join on (country, word), once for each kind of word."""
-    q = s1.select("source1_entity_id", *(F.col(c).alias(f"q_{c}") for c in _FIELDS))
-    t = targets.select(F.col("entity_id").alias("true_entity_id"), "business_name", "business_address", *(F.col(c).alias(f"t_{c}") for c in _FIELDS))
+    the query's country. Keys are looked up by a join on (country, word), once for each kind of word. Lists are taken apart
+    once for a record, not for each pair."""
+
+    def fields(side: str):
+        return [*(F.col(c).alias(f"{side}_{c}") for c in _FIELDS), *(text.split_nonempty(F.col(c), p).alias(f"{side}_{c}") for c, p in _LISTS.items())]
+
+    q = s1.select("source1_entity_id", *fields("q"))
+    t = targets.select(F.col("entity_id").alias("true_entity_id"), "business_name", "business_address", *fields("t"))
     pairs = truth_pairs.join(q, "source1_entity_id").join(t, "true_entity_id")
 
-    def shared(column: str, pattern: str):
-        return F.array_sort(F.array_intersect(text.split_nonempty(F.col(f"q_{column}"), pattern), text.split_nonempty(F.col(f"t_{column}"), pattern)))
+    def shared(column: str):
+        return F.array_sort(F.array_intersect(f"q_{column}", f"t_{column}"))
 
     def equal(column: str):
         return (F.col(f"q_{column}") != "") & (F.col(f"q_{column}") == F.col(f"t_{column}"))
 
     pairs = pairs.withColumns({
         "exact_name": equal("name_nfkc"), "compact_name": equal("name_compact"), "core_name": equal("name_core_compact"), "exact_address": equal("address_nfkc"),
-        "postal_match": F.size(shared("postal_candidates", r"\|")) > 0,
-        "shared_name": shared("name_tokens", " "), "shared_address": shared("address_informative_tokens", " "), "shared_numbers": shared("address_numbers", r"\|"),
+        "postal_match": F.arrays_overlap("q_postal_candidates", "t_postal_candidates"),
+        "shared_name": shared("name_tokens"), "shared_address": shared("address_informative_tokens"), "shared_numbers": shared("address_numbers"),
     })
     for kind, block in (("name", "rare_name_token"), ("address", "rare_address_token")):
         keys = postings[block].select("country_key", "value").distinct()
