@@ -66,3 +66,11 @@ def test_no_pair_is_shuffled(spark, tmp_path, name):
     found = catalog.QUERIES[name](spark, str(tmp_path))
     assert found.count() > 0
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missed_pairs_are_not_shuffled(spark, tmp_path):
+    rows = [(i, f"one two three four five w{i % 7} w{i % 5}", "en", "s", 9) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["miss_reasons"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
