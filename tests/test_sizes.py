@@ -1,9 +1,12 @@
 """What large groups of records with equal texts must not cost, with the results that they must have."""
 
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import evaluate, profile
+from kindred.operators import blocking, evaluate, index, meet, normalize, profile
+from kindred.plans import catalog
 from kindred.plans.fixture import Linkage
 
 rows = lambda df: sorted(map(tuple, df.collect()))
@@ -36,3 +39,35 @@ def test_truth_lists(spark):
     assert rows(profile.match_histogram(truth, ())) == [("all", 0, 2), ("all", 3, 1), ("all", 4, 1)]
     assert rows(profile.truth_summary(truth)) == [(4, 2, 50.0, 7)]
     assert rows(profile.truth_summary(truth.filter(F.lit(False)))) == [(0, 0, 0.0, None)]
+
+
+def test_similar_pairs_are_compared_once_for_a_pair_of_texts(spark, customers, monkeypatch):
+    monkeypatch.setattr(meet, "BATCH", 500)
+    link = Linkage(spark, customers, "customers")
+    near = blocking.candidates(blocking.evidence(link.s1, link.postings, ["core_name", "exact_address"]), blocking.v1())
+    q, t = (own.select(F.col("entity_id").alias(i), F.col("name_nfkc").alias(f"n{i}"), F.col("address_nfkc").alias(f"a{i}")) for own, i in ((link.saved.filter("source = 'S1'"), "source1_entity_id"), (link.targets, "candidate_entity_id")))
+    both = near.join(q, "source1_entity_id").join(t, "candidate_entity_id").collect()
+    ratio = lambda a, b: round(SequenceMatcher(None, a, b).ratio(), 4)
+    want = sorted((r["source1_entity_id"], r["candidate_entity_id"], ratio(r["nsource1_entity_id"], r["ncandidate_entity_id"]), ratio(r["asource1_entity_id"], r["acandidate_entity_id"])) for r in both)
+    found = catalog.QUERIES["name_similarity"](spark, customers)
+    assert want and rows(found) == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarities_of_records_that_share_an_id(spark):
+    made = [("S1", "S1-1", "a b", "x 1"), ("S1", "S1-1", "c d", "x 2"), ("S1", "S1-2", "e", ""), ("S2", "S2-1", "a b", "x 2"), ("S2", "S2-1", "q r", "x 9"), ("S2", "S2-2", "e", "z")]
+    views = normalize.normalize_folded(spark.createDataFrame([(*r, "US") for r in made], "source string, entity_id string, business_name string, business_address string, country string"))
+    keys = meet.record_keys(views, ["core_name", "exact_address"], F.col("source") == "S1", texts={"name": "name_nfkc", "address": "address_nfkc"})
+    ratio = lambda a, b: round(SequenceMatcher(None, a, b).ratio(), 4)
+    want = [(q[1], t[1], ratio(q[2], t[2]), ratio(q[3], t[3]) if q[3] else 0.0) for q in made[:3] for t in made[3:] if (q[1] == "S1-1") == (t[1] == "S2-1")]
+    assert rows(meet.similarities(keys, ["core_name", "exact_address"], "address", "name")) == sorted(want)
+
+
+@pytest.mark.parametrize("caps", [{}, {"core_name": 15, "postal": 3}])
+def test_retrieval_by_meeting(spark, customers, caps):
+    link = Linkage(spark, customers, "customers")
+    postings = link.postings | {"name_ngram": index.ngram_postings(link.targets, 40)}
+    want = rows(blocking.retrieve(link.s1, postings, caps))
+    found = meet.retrieve(link.s1, postings, caps)
+    assert want and rows(found) == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
