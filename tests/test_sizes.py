@@ -71,3 +71,10 @@ def test_retrieval_by_meeting(spark, customers, caps):
     found = meet.retrieve(link.s1, postings, caps)
     assert want and rows(found) == want
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_items_of_one_file_are_dealt_out(spark, tmp_path):
+    made = spark.createDataFrame([(i, 1, "A", "F", 5.0) for i in range(40)], "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double")
+    made.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    records = Linkage(spark, str(tmp_path), "lineitems").records.filter("source <> 'S1'")
+    assert records.count() == 40 and records.rdd.getNumPartitions() > 4
