@@ -56,3 +56,36 @@ def test_examples_do_not_compare_all_names(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(misses, "near_examples", lambda *a: seen.append(chosen(*a)) or seen[-1])
     assert catalog.QUERIES["miss_examples"](spark, str(tmp_path)).count() == 1000
     assert seen[0].count() == 1000  # of 180 000 pairs
+
+
+@pytest.mark.parametrize("cap", [0, 20, 1000])
+def test_report(views, small, cap, monkeypatch):
+    """A report of all has the texts of pairs joined one by one, and a target's once for many queries until it is returned."""
+    if near.BATCH == 50:
+        for name, n in (("REPORT_PAIRS", 200), ("REPORT_ROWS", 40), ("REPORT_WORDS", 60), ("REPORT_BYTES", 900)):
+            monkeypatch.setattr(near, name, n)
+    made, met = [], near._met
+    monkeypatch.setattr(near, "_met", lambda *a: made.append(met(*a)) or made[-1])
+    columns = [c for c in catalog._MISS_COLUMNS if c not in ("exact_name", "indexed_name_tokens")]
+    found = Counter(map(tuple, near.report(views, F.expr(FIRST), cap).select(columns).collect()))
+    joined = misses.miss_examples(misses.near_misses(views, F.expr(FIRST), cap), 0)
+    assert found == Counter(map(tuple, joined.select(columns).collect()))
+    assert joined.filter("exact_name OR indexed_name_tokens <> ''").isEmpty()
+    sizes = [r["n"] for r in made[0].selectExpr("size(pairs) AS n").collect()]
+    assert sum(sizes) == found.total()
+    assert len(sizes) * 4 < sum(sizes)
+
+
+def test_report_joins_no_texts(spark, tmp_path, monkeypatch):
+    """Texts of pairs are put together where the pairs are judged."""
+    rows = [(i, f"one two Three{i % 2} four Äpfel w{i % 3} w{i % 5} x{i} Öl zwölf", "en" if i % 7 else None, "s", 9) for i in range(90)] + [(90, None, "en", "s", 0), (91, "", "en", "s", 0), (92, "one", "en", "s", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    records = catalog.Linkage(spark, str(tmp_path), "documents", catalog.TIGHT_DF)
+    want = misses.miss_examples(misses.near_misses(records.views, catalog._first(), catalog.TIGHT_DF), 0).select(*catalog._MISS_COLUMNS)
+    monkeypatch.setattr(misses, "near_misses", None)
+    found = catalog.QUERIES["miss_report"](spark, str(tmp_path))
+    assert [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert not want.isEmpty()
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, want.collect()))
+    joins = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "true_address" in joins and "Join" in joins and "q_address" not in joins
